@@ -57,13 +57,13 @@ def string_index_tables(spark, sf_dir):
     return fit_index(conns, CATEGORIES, max_driver_labels=0).transform(conns).select(*INDEXED_COLUMNS)
 
 
-@query(CONN + ",\nbenign AS (SELECT * FROM conn_v WHERE orig_pkts < 36),"
-       + index_ctes("benign", apply_to="conn_v")
+@query(CONN + ",\none_capture AS (SELECT * FROM conn_v WHERE source_file = 'beacon-AO.log'),"
+       + index_ctes("one_capture", apply_to="conn_v")
        + "SELECT " + ", ".join(INDEXED_COLUMNS) + " FROM indexed")
 def string_index_unseen(spark, sf_dir):
-    """Fitted on the benign captures, applied to all rows: other histories get the extra index."""
+    """Fitted on one capture, applied to all rows: values it lacks get the extra index."""
     conns = S.connections(spark, sf_dir)
-    index = fit_index(conns.where(F.col("orig_pkts") < 36), CATEGORIES)
+    index = fit_index(conns.where(F.col("source_file") == "beacon-AO.log"), CATEGORIES)
     return index.transform(conns).select(*INDEXED_COLUMNS)
 
 
@@ -111,8 +111,8 @@ def standard_scaled(spark, sf_dir):
 ONE_HOT = replace(
     SPECS["conn_naive_bayes"], categories=("proto", "service"), numbers=("orig_pkts",), one_hot=True
 )
-_PROTO_COLUMNS = [f"proto_{i}" for i in range(3)]
-_SERVICE_COLUMNS = [f"service_{i}" for i in range(4)]
+_PROTO_COLUMNS = [f"proto_{i}" for i in range(2)]
+_SERVICE_COLUMNS = [f"service_{i}" for i in range(3)]
 
 
 def _hot(column, names):
@@ -125,7 +125,7 @@ def _hot(column, names):
 SELECT orig_h, orig_p, resp_h, {_hot("proto_index", _PROTO_COLUMNS)},
   {_hot("service_index", _SERVICE_COLUMNS)}, CAST(orig_pkts AS DOUBLE) AS f_pkts FROM indexed""")
 def one_hot_features(spark, sf_dir):
-    """Optional one-hot stage: one slot per category and one for unseen values."""
+    """Optional one-hot stage: one slot per category, none for unseen values."""
     conns = S.connections(spark, sf_dir)
     rows = fit_features(ONE_HOT, conns).score(conns)
     names = [*_PROTO_COLUMNS, *_SERVICE_COLUMNS, "f_pkts"]

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 
 from ..operators.clusters import align_clusters, cluster_label_map, silhouette
@@ -50,7 +50,7 @@ class FittedModel:
         """Add ``prediction`` (and what else the family reports) to every row kept for scoring."""
         drop = self.spec.drop_test_nulls if drop_nulls is None else drop_nulls
         rows = drop_null_rows(df, self.spec.required_at_test) if drop else df
-        return self.pipeline.transform(CategoryIndex(None, self.tables).apply_tables(rows))
+        return self.pipeline.transform(CategoryIndex([], self.tables).apply_tables(rows))
 
 
 def training_rows(spec: ModelSpec, train: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def fit_features(
     spec: ModelSpec, train: DataFrame, max_driver_labels: int = MAX_DRIVER_LABELS
 ) -> FittedModel:
     """The feature half of the pipeline, fitted; ``score`` of the result adds ``features``."""
-    index = CategoryIndex(None)
+    index = CategoryIndex()
     if spec.categories:
         index = fit_index(train, spec.categories, max_driver_labels)
         if index.tables and (spec.one_hot or spec.family == specs.RANDOM_FOREST):
@@ -69,13 +69,12 @@ def fit_features(
                 f"{', '.join(index.tables)}: more than {max_driver_labels} categories; "
                 "trees and one-hot vectors need them all as metadata, raise max_driver_labels"
             )
-    stages = [] if index.model is None else [index.model]
+    stages = list(index.models)
     inputs = spec.features
     if spec.one_hot and spec.categories:
         encoded = [f"{c}_vector" for c in spec.categories]
-        encoder = OneHotEncoder(
-            inputCols=inputs[: len(encoded)], outputCols=encoded, handleInvalid="keep"
-        )
+        # The slot it drops is the index's last, the one for unseen values: all zeros.
+        encoder = OneHotEncoder(inputCols=inputs[: len(encoded)], outputCols=encoded)
         # Category counts come from the index metadata; no pass over the rows.
         stages.append(encoder.fit(PipelineModel(stages).transform(train)))
         inputs = [*encoded, *inputs[len(encoded):]]
@@ -103,8 +102,8 @@ def _estimator(spec: ModelSpec, features: FittedModel, width: int | None = None)
 
 
 def _categories(features: FittedModel) -> int:
-    first = features.pipeline.stages[0]
-    return max(map(len, first.labelsArray)) if hasattr(first, "labelsArray") else 0
+    indexes = [s for s in features.pipeline.stages if isinstance(s, StringIndexerModel)]
+    return max((len(i.labels) for i in indexes), default=0)
 
 
 def _vectors(spec: ModelSpec, features: FittedModel, rows: DataFrame) -> DataFrame:

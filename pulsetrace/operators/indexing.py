@@ -1,8 +1,8 @@
 """Category indexes ordered by descending frequency, ties by value.
 
 Frequencies are counted by a shuffle with map-side combine, one scan for all
-columns. Small vocabularies become one ``StringIndexerModel``; a vocabulary over
-the limit stays a distributed table and is applied by a join.
+columns. A small vocabulary becomes a ``StringIndexerModel``; one over the limit
+stays a distributed table and is applied by a join.
 """
 
 from collections.abc import Sequence
@@ -72,23 +72,21 @@ def apply_index_table(df: DataFrame, table: DataFrame, column: str, **options) -
 
 @dataclass
 class CategoryIndex:
-    """Fitted indexes: ``model`` for small vocabularies, ``tables`` for the others."""
+    """Fitted indexes: ``models`` for small vocabularies, ``tables`` for the others."""
 
-    model: StringIndexerModel | None
+    models: list[StringIndexerModel] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.apply_tables(df if self.model is None else self.model.transform(df))
+        for model in self.models:
+            df = model.transform(df)
+        return self.apply_tables(df)
 
     def apply_tables(self, df: DataFrame) -> DataFrame:
         for column, table in self.tables.items():
             df = apply_index_table(df, table, column)
         return df
 
-    def largest(self) -> int:
-        """Categories of the widest column held by ``model``."""
-        return max((len(labels) for labels in self.model.labelsArray), default=0) if self.model else 0
-
 
 def fit_index(
     df: DataFrame,
@@ -107,14 +105,13 @@ def fit_index(
         rows = counts.where(F.col("column").isin(*small)).collect() if small else []
         for r in sorted(rows, key=lambda r: (-r["count"], r["value"])):
             labels[r["column"]].append(r["value"])
-        model = None
-        if small:
-            model = StringIndexerModel.from_arrays_of_labels(
-                [labels[c] for c in small],
-                inputCols=small,
-                outputCols=[index_name(c) for c in small],
-                handleInvalid=handle_invalid,
+        # One model per column: a joint model would pad the label lists to one length.
+        models = [
+            StringIndexerModel.from_labels(
+                labels[c], inputCol=c, outputCol=index_name(c), handleInvalid=handle_invalid
             )
+            for c in small
+        ]
         tables = {
             c: rank_values(counts.where(F.col("column") == c), new_scratch(spark, f"index-{c}"))
             for c in columns
@@ -122,7 +119,7 @@ def fit_index(
         }
     finally:
         counts.unpersist()
-    return CategoryIndex(model, tables)
+    return CategoryIndex(models, tables)
 
 
 def index_pairs(df: DataFrame, column: str) -> DataFrame:

@@ -47,7 +47,7 @@ def read_labelled_csv(
             [StructField(names.get(c, c), StringType(), True) for c in columns]
             + [StructField(CORRUPT, StringType(), True)]
         )
-    raw = spark.read.csv(
+    raw = spark.read.option("columnPruning", False).csv(
         path,
         schema=read,
         header=True,

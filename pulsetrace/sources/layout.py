@@ -5,15 +5,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
+ROWS_PER_TASK = 50_000
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Even out a scan that has fewer splits than the session has task slots.
 
-    Large inputs have far more splits than slots and pass through unchanged, so
-    this adds a shuffle only where the input is small. Give it a plain scan:
-    asking a plan with shuffles for its partitions would run them.
+    Large inputs have far more splits than slots and pass through unchanged; only
+    a small input is counted (from file footers) and shuffled, into no more
+    tasks than its rows fill. Give it a plain scan: asking a plan with shuffles
+    for its partitions would run them.
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+    if scan.rdd.getNumPartitions() >= slots:
+        return scan
+    return scan.repartition(min(slots, scan.count() // ROWS_PER_TASK + 1))
 
 
 def stable_layout(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:

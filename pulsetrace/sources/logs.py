@@ -43,7 +43,8 @@ def text_fields(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str])
 
 
 def _scan(reader, path, columns, na_tokens):
-    raw = reader.csv(
+    # Without pruning a line's width is checked whichever columns are read later.
+    raw = reader.option("columnPruning", False).csv(
         path, schema=text_schema(columns), mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     )
     # Spark skips dot-files and sub-folders by itself; this drops "<name>.DS_Store" too.
