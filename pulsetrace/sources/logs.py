@@ -35,9 +35,12 @@ def text_schema(columns: Sequence[str]) -> StructType:
 
 
 def text_fields(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str]) -> DataFrame:
+    # Spark refuses scans that need nothing but the corrupt line, such as a count of the others;
+    # naming a field beside it avoids that.
+    line = F.coalesce(F.col(CORRUPT), F.col(columns[0]))
     return df.select(
         *[na_to_null(F.col(c), na_tokens).alias(c) for c in columns],
-        F.col(CORRUPT),
+        F.when(F.col(CORRUPT).isNotNull(), line).alias(CORRUPT),
         F.col("_metadata.file_name").alias(SOURCE_FILE),
     )
 
