@@ -74,7 +74,7 @@ def parse_typed(df: DataFrame, schema: StructType) -> DataFrame:
     """Every row typed, with a map of its malformed fields' text (null where there is none)."""
     checks = _checks(df, schema, schema.names)
     entries = [
-        F.when(check, F.struct(F.lit(name).alias("key"), F.col(name).alias("value")))
+        F.when(check, F.struct(F.lit(name).alias("key"), F.col(name).cast("string").alias("value")))
         for name, check in checks.items()
     ]
     bad = F.when(_any(checks), F.map_from_entries(F.array_compact(F.array(*entries))))
