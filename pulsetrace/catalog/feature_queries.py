@@ -74,6 +74,25 @@ def index_pairs(spark, sf_dir):
     return distinct_pairs(fit_index(conns, ["history"]).transform(conns), "history")
 
 
+@query(CONN + "," + index_ctes("conn_v") + """
+SELECT 'proto_index' AS feature, value, CAST(idx AS BIGINT) AS position FROM ix_proto
+UNION ALL SELECT 'service_index', value, CAST(idx AS BIGINT) FROM ix_service
+UNION ALL SELECT 'history_index', value, CAST(idx AS BIGINT) FROM ix_history
+UNION ALL SELECT 'proto_index', '__unknown', count(*) FROM ix_proto
+UNION ALL SELECT 'service_index', '__unknown', count(*) FROM ix_service
+UNION ALL SELECT 'history_index', '__unknown', count(*) FROM ix_history""")
+def nominal_metadata(spark, sf_dir):
+    """The category list each index column carries for the tree learners."""
+    conns = S.connections(spark, sf_dir)
+    schema = fit_index(conns, CATEGORIES).transform(conns).schema
+    rows = [
+        (name, value, position)
+        for name in map(index_name, CATEGORIES)
+        for position, value in enumerate(schema[name].metadata["ml_attr"]["vals"])
+    ]
+    return spark.createDataFrame(rows, "feature string, value string, position long")
+
+
 NB = SPECS["conn_naive_bayes"]
 
 

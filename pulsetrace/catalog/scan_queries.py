@@ -68,7 +68,7 @@ def conn_text_fields(conns: DataFrame) -> DataFrame:
 @cache
 def _conn_log_folder(app: str, spark: SparkSession, sf_dir: str) -> str:
     path = new_scratch(spark, "conn-log")
-    fields = conn_text_fields(S.connections(spark, sf_dir))
+    fields = conn_text_fields(S.connections(spark, sf_dir, even=True))
     whole = F.concat_ws("\t", *CONN_LOG_COLUMNS)
     lines = fields.select(
         F.when(F.col("short"), F.concat_ws("\t", *CONN_LOG_COLUMNS[:-1])).otherwise(whole)

@@ -6,6 +6,7 @@ evaluate  saved pipeline + labelled dataset -> metrics, confusion, missed, alarm
 """
 
 import argparse
+import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pulsetrace.plans import datasets
 from pulsetrace.plans.runs import Report, evaluate
 from pulsetrace.schemas import CONN, DOTTED_NAMES, GROUP
 from pulsetrace.sources.datasets import read_labelled, read_labelled_csv, write_labelled
+from pulsetrace.sources.layout import stable_layout
 from pulsetrace.sources.logs import CORRUPT, read_conn_logs, read_group_logs
 from pulsetrace.sources.typed import accept_rows, landed_schema, parse_typed, population
 
@@ -57,11 +59,18 @@ def load_labelled(spark: SparkSession, path: str, schema, required, fmt="parquet
     return population(read_labelled(spark, path, landed_schema(schema)), required)
 
 
-def fit_job(spark, spec_name, data, models, seeds=None, keep="best", fmt="parquet"):
+def fit_job(
+    spark, spec_name, data, models, seeds=None, keep="best", fmt="parquet", stable=None
+) -> str:
+    """Fit and save; ``stable`` fixes the partitions, for a forest that must be repeatable."""
     spec = SPECS[spec_name]
     train = load_labelled(spark, data, spec.schema, spec.required, fmt)
+    if stable:
+        train = stable_layout(train, train.columns, stable)
     if seeds:
-        model, _ = fit_kmeans_seeds(spec, train, seeds, keep)
+        model, runs = fit_kmeans_seeds(spec, train, seeds, keep)
+        for run in runs:
+            print(f"seed {run.seed} silhouette {run.silhouette}{' kept' if run.kept else ''}")
     else:
         model = fit(spec, train)
     return store.save(model, models)
@@ -97,7 +106,9 @@ def main(argv=None):
     f.add_argument("spec", choices=SPECS)
     f.add_argument("--data", required=True)
     f.add_argument("--models", required=True)
-    f.add_argument("--seeds", nargs="*", type=int)
+    f.add_argument("--seeds", nargs="*", type=int, help="k-means: one fit per seed")
+    f.add_argument("--rounds", type=int, help="k-means: as many random seeds instead")
+    f.add_argument("--stable", type=int, help="partitions of a repeatable layout")
     f.add_argument("--keep", choices=("best", "last"), default="best")
     e = jobs.add_parser("evaluate")
     e.add_argument("--model", required=True)
@@ -112,7 +123,11 @@ def main(argv=None):
     if args.job == "build":
         build(spark, args.kind, args.train, args.test, args.out, args.format).show()
     elif args.job == "fit":
-        print(fit_job(spark, args.spec, args.data, args.models, args.seeds, args.keep, args.format))
+        seeds = args.seeds
+        if args.rounds:
+            seeds = [random.randint(0, 10**11) for _ in range(args.rounds)]
+        print(fit_job(spark, args.spec, args.data, args.models, seeds, args.keep, args.format,
+                      args.stable))
     else:
         report = evaluate_job(spark, args.model, args.data, args.out, args.align_with, args.format)
         report.named_cells.show()

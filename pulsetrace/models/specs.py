@@ -1,6 +1,7 @@
 """The ten pipelines: one row each, no code per model."""
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql.types import StructType
 
@@ -53,6 +54,18 @@ class ModelSpec:
             return list(self.schema.names)
         return [*self.categories, *self.numbers, "label"]
 
+    def to_json(self) -> str:
+        return json.dumps({
+            **{f.name: getattr(self, f.name) for f in fields(self)},
+            "schema": self.schema.jsonValue(),
+        })
+
+    @classmethod
+    def from_json(cls, text: str) -> "ModelSpec":
+        values = json.loads(text)
+        values["schema"] = StructType.fromJson(values["schema"])
+        return cls(**{k: tuple(v) if k in ("categories", "numbers") else v for k, v in values.items()})
+
     def with_params(self, **params) -> "ModelSpec":
         return replace(self, params={**self.params, **params})
 

@@ -1,13 +1,13 @@
 """Save and load fitted pipelines, one folder per pipeline name."""
 
-import json
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from .specs import SPECS
+from .specs import ModelSpec
 from .training import FittedModel
 
+CONTENTS = "spec string, tables array<string>"
+
 
 def save(model: FittedModel, root: str) -> str:
     """Overwrite ``<root>/<spec name>`` with the whole pipeline and any index tables."""
@@ -15,17 +15,16 @@ def save(model: FittedModel, root: str) -> str:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     for column, table in model.tables.items():
         table.write.mode("overwrite").parquet(f"{path}/index/{column}")
-    spark = SparkSession.active()
-    note = json.dumps({"spec": model.spec.name, "tables": sorted(model.tables)})
-    spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/contents"
-    )
+    note = [(model.spec.to_json(), sorted(model.tables))]
+    SparkSession.active().createDataFrame(note, CONTENTS).coalesce(1).write.mode(
+        "overwrite"
+    ).json(f"{path}/contents")
     return path
 
 
 def load(spark: SparkSession, path: str) -> FittedModel:
-    contents = json.loads(spark.read.text(f"{path}/contents").first()[0])
+    contents = spark.read.schema(CONTENTS).json(f"{path}/contents").first()
     tables = {c: spark.read.parquet(f"{path}/index/{c}") for c in contents["tables"]}
     return FittedModel(
-        SPECS[contents["spec"]], PipelineModel.load(f"{path}/pipeline"), tables
+        ModelSpec.from_json(contents["spec"]), PipelineModel.load(f"{path}/pipeline"), tables
     )

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 def silhouette(df: DataFrame, features: str = "features", prediction: str = "prediction"):
     """Mean silhouette on squared Euclidean distance; None with fewer than two clusters."""
-    if df.select(prediction).distinct().limit(2).count() < 2:
-        return None
-    return ClusteringEvaluator(
+    evaluator = ClusteringEvaluator(
         featuresCol=features,
         predictionCol=prediction,
         metricName="silhouette",
         distanceMeasure="squaredEuclidean",
-    ).evaluate(df)
+    )
+    try:
+        return evaluator.evaluate(df)
+    except Exception as error:
+        # Found out by the evaluator itself; asking beforehand would be another pass.
+        if "Number of clusters must be greater than one" in str(error):
+            return None
+        raise
 
 
 def cluster_label_map(df: DataFrame) -> DataFrame:

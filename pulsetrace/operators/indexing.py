@@ -17,7 +17,7 @@ from ..sources.scratch import new_scratch
 from .lookup import lookup
 
 # Vocabularies up to this size go through the driver into model metadata.
-MAX_DRIVER_LABELS = 100_000
+MAX_DRIVER_LABELS = 20_000
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
 

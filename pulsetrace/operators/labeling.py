@@ -42,7 +42,7 @@ def label_by_indicator(
             return df.withColumn("label", hit.cast("int"))
         indicators = df.sparkSession.createDataFrame([(x,) for x in indicators], f"{on} string")
     listed = _distinct_addresses(indicators, on).withColumn("_listed", F.lit(1))
-    found = lookup(df, listed, on, "left", broadcast_bytes)
+    found = lookup(df, listed, on, "left", broadcast_bytes, shrink=True)
     return found.select(*df.columns, F.coalesce("_listed", F.lit(0)).alias("label"))
 
 
@@ -50,7 +50,8 @@ def indicator_hits(
     df: DataFrame, indicators: DataFrame, on: str, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Only the rows whose destination is listed."""
-    hits = lookup(df, _distinct_addresses(indicators, on), on, "left_semi", broadcast_bytes)
+    listed = _distinct_addresses(indicators, on)
+    hits = lookup(df, listed, on, "left_semi", broadcast_bytes, shrink=True)
     return hits.select(*df.columns)
 
 

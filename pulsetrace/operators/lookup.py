@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_scratch
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 _ROW_OVERHEAD = 64
@@ -17,6 +19,17 @@ def fits_broadcast(dim: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> bo
     return size <= limit
 
 
+def seen_keys(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """The part of ``dim`` whose keys occur in ``facts``, written out.
+
+    Reads one fact column and shuffles its distinct values only. A list of many
+    addresses that meets few of them shrinks to a size that can be broadcast.
+    """
+    path = new_scratch(facts.sparkSession, "seen-keys")
+    dim.join(facts.select(key).distinct(), key, "left_semi").write.parquet(path)
+    return facts.sparkSession.read.parquet(path)
+
+
 def lookup(
     facts: DataFrame,
     dim: DataFrame,
@@ -24,15 +37,21 @@ def lookup(
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    shrink: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, whose ``key`` values are distinct.
 
-    A dimension over the limit is joined by shuffle, each of its rows repeated
-    once per salt. A fact row's salt is its partition number, so one key's rows
+    With ``shrink``, a dimension over the limit is first cut to the keys that
+    occur. One still over it is joined by shuffle, each of its rows repeated once
+    per salt. A fact row's salt is its partition number, so one key's rows
     go to ``salts`` tasks, and a task that is run again makes the same choice.
     """
     added = [] if how == "left_semi" else [c for c in dim.columns if c != key]
-    if fits_broadcast(dim, key, broadcast_bytes):
+    small = fits_broadcast(dim, key, broadcast_bytes)
+    if shrink and not small:
+        dim = seen_keys(facts, dim, key)
+        small = fits_broadcast(dim, key, broadcast_bytes)
+    if small:
         joined = facts.join(F.broadcast(dim), key, how)
     else:
         salted_facts = facts.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))

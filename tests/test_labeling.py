@@ -71,6 +71,17 @@ def test_salting_keeps_every_copy_of_a_hot_key(spark):
     assert joined.where("v = 7").count() == 20_000 and joined.where("v = 8").count() == 1
 
 
+def test_a_large_list_that_meets_few_addresses_is_cut_and_broadcast(spark):
+    listed = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("ip")).union(
+        spark.createDataFrame([(HIT,)], "ip string")
+    )
+    labelled = L.label_by_indicator(flows(spark), listed, "resp_h", broadcast_bytes=1000)
+    assert "BroadcastHashJoin" in plan(labelled) and labelled.where("label = 1").count() == 2
+    many = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("resp_h"))
+    labelled = L.label_by_indicator(many, listed, "resp_h", broadcast_bytes=1000)
+    assert "SortMergeJoin" in plan(labelled) and labelled.where("label = 1").count() == 2000
+
+
 def test_origin_label_uses_the_name_up_to_the_first_dot(spark):
     files = ["cicids17-normal.log", "ctu-normal-20.binetflow.labeled.log", "amazon.log",
              "train/cicids17-normal.log", "cicids17-normal-2.log"]

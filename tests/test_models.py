@@ -124,7 +124,7 @@ def test_saved_pipeline_predicts_the_same(spark):
     key = ["orig_h", "orig_p", "label", "prediction"]
     want = model.score(df).select(*key)
     assert loaded.score(df).select(*key).exceptAll(want).count() == 0
-    assert loaded.spec.name == "conn_random_forest"
+    assert loaded.spec == model.spec
 
 
 def test_saved_index_tables_predict_the_same(spark):
