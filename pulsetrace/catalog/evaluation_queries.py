@@ -27,8 +27,8 @@ def rule_scored(spark, sf_dir):
 
 RULE = LABELLED + """,
 rule_scored AS (
-  SELECT *, CASE WHEN service IN ('http', 'ssl') AND orig_pkts >= 36 THEN 1.0 ELSE 0.0 END
-    AS prediction FROM conn_labelled)"""
+  SELECT *, CASE WHEN service IN ('http', 'ssl') AND orig_pkts >= 36
+    THEN 1e0 ELSE 0e0 END AS prediction FROM conn_labelled)"""
 
 
 def vector_scored(spark, sf_dir):

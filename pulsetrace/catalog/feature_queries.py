@@ -136,7 +136,7 @@ _SERVICE_COLUMNS = [f"service_{i}" for i in range(3)]
 
 def _hot(column, names):
     return ", ".join(
-        f"CASE WHEN {column} = {i} THEN 1.0 ELSE 0.0 END AS {name}" for i, name in enumerate(names)
+        f"CASE WHEN {column} = {i} THEN 1e0 ELSE 0e0 END AS {name}" for i, name in enumerate(names)
     )
 
 

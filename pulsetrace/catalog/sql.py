@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 
 def with_ctes(*parts: str) -> str:
-    return "WITH " + ",".join(parts)
+    return "WITH RECURSIVE " + ",".join(parts)
 
 
 def index_cte(name: str, source: str, column: str) -> str:
@@ -48,7 +48,7 @@ def gaussian_nb_ctes(train: str, test: str, features: Sequence[str]) -> str:
 nb_eps AS (SELECT 1e-9 * greatest({spread}) AS e FROM {train}),
 nb_model AS (SELECT {", ".join(columns)} FROM {train}, nb_eps),
 nb_scored AS (
-  SELECT t.*, CASE WHEN {score[1]} > {score[0]} THEN 1.0 ELSE 0.0 END AS prediction
+  SELECT t.*, CASE WHEN {score[1]} > {score[0]} THEN 1e0 ELSE 0e0 END AS prediction
   FROM {test} t, nb_model)"""
 
 
@@ -66,7 +66,7 @@ def multinomial_nb_ctes(train: str, test: str, features: Sequence[str]) -> str:
     return f"""
 nb_model AS (SELECT {", ".join(columns)} FROM {train}),
 nb_scored AS (
-  SELECT t.*, CASE WHEN {score[1]} > {score[0]} THEN 1.0 ELSE 0.0 END AS prediction
+  SELECT t.*, CASE WHEN {score[1]} > {score[0]} THEN 1e0 ELSE 0e0 END AS prediction
   FROM {test} t, nb_model)"""
 
 
@@ -129,3 +129,34 @@ silhouette AS (
   SELECT avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END)
     AS silhouette
   FROM parts)"""
+
+
+def two_means_ctes(train: str, test: str, features: Sequence[str], rounds: int = 60) -> str:
+    """Two clusters from the corners of the training box, moved ``rounds`` times.
+
+    ``centres_found`` (c and the features), ``train_clustered`` and ``test_clustered``
+    (rows with a ``c``). Equals a fit that stops at the same fixed point.
+    """
+    corner = ", ".join(f"CAST({{}}({f}) AS DOUBLE) AS {f}" for f in features)
+    means = ", ".join(f"avg({f}) AS {f}" for f in features)
+    values = ", ".join(f"any_value(p.{f}) AS {f}" for f in features)
+    gap = " + ".join(f"(p.{f} - m.{f}) * (p.{f} - m.{f})" for f in features)
+
+    def clustered(source):
+        return f"""
+  SELECT * EXCLUDE (row_id), (SELECT arg_min(m.c, {gap}) FROM centres_found m) AS c
+  FROM (SELECT *, row_number() OVER () AS row_id FROM {source}) p"""
+
+    return f"""
+points_in AS (SELECT row_number() OVER () AS id, {", ".join(features)} FROM {train}),
+moved AS (
+  SELECT 0 AS step, 0 AS c, {corner.format(*["min"] * len(features))} FROM points_in
+  UNION ALL SELECT 0, 1, {corner.format(*["max"] * len(features))} FROM points_in
+  UNION ALL
+  SELECT any_value(step) + 1, c, {means} FROM (
+    SELECT any_value(m.step) AS step, arg_min(m.c, {gap}) AS c, {values}
+    FROM points_in p, moved m WHERE m.step < {rounds} GROUP BY p.id)
+  GROUP BY c),
+centres_found AS (SELECT c, {", ".join(features)} FROM moved WHERE step = {rounds}),
+train_clustered AS ({clustered(train)}),
+test_clustered AS ({clustered(test)})"""

@@ -34,6 +34,9 @@ ESTIMATORS = {
 }
 
 
+MAX_AUTO_BINS = 5_000
+
+
 @dataclass
 class FittedModel:
     """``tables`` hold the vocabularies too large for the pipeline's own index stage."""
@@ -92,8 +95,10 @@ def fit_features(
 def _estimator(spec: ModelSpec, features: FittedModel, width: int | None = None):
     params = dict(spec.params)
     if spec.family == specs.RANDOM_FOREST:
-        # Every category, and the one for unseen values, needs a bin of its own.
-        params["maxBins"] = max(params.get("maxBins", 32), _categories(features) + 1)
+        # Every category, and the one for unseen values, needs a bin of its own. Split finding
+        # samples the square of the bins, so more than MAX_AUTO_BINS must be asked for.
+        needed = min(_categories(features) + 1, MAX_AUTO_BINS)
+        params["maxBins"] = max(params.get("maxBins", 32), needed)
     if spec.family == specs.PERCEPTRON and width is not None:
         params["layers"] = [width, *params["layers"][1:]]
     if spec.supervised:

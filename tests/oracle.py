@@ -3,7 +3,6 @@
 import math
 import sys
 import time
-from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -13,6 +12,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for path in sorted(Path(sf_dir).glob("*.parquet")):
@@ -21,8 +26,6 @@ def duck(sf_dir: str):
 
 
 def _value(x):
-    if isinstance(x, Decimal):
-        return float(x)
     if isinstance(x, float):
         return None if math.isnan(x) else x + 0.0
     return x
@@ -46,7 +49,8 @@ def compare(spark, con, name: str, sf_dir: str):
         return len(got), None, seconds
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
-    assert sorted(columns) == sorted(df.columns), (name, columns, df.columns)
+    types = sorted((d[0], str(d[1])) for d in result.description)
+    assert types == sorted((c, TYPES[t]) for c, t in df.dtypes), (name, types, df.dtypes)
     want = _rows(columns, result.fetchall())
     bad = [(a, b) for a, b in zip(got, want) if a != b]
     bad += [(a, None) for a in got[len(want):]] + [(None, b) for b in want[len(got):]]

@@ -6,9 +6,8 @@ from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 from oracle import compare, duck
 
 FITS = {
-    "conn_kmeans", "conn_kmeans_aligned", "conn_linear_svm", "conn_random_forest",
-    "conn_perceptron", "group_kmeans", "group_kmeans_seeds", "group_linear_svm",
-    "group_random_forest", "group_perceptron",
+    "conn_kmeans", "conn_kmeans_aligned", "conn_linear_svm", "conn_perceptron",
+    "group_kmeans_seeds", "group_linear_svm", "group_random_forest", "group_perceptron",
 }
 
 
@@ -28,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
     assert rows > 0 and bad == []
 
 
-@pytest.mark.parametrize("name", ["conn_random_forest", "conn_kmeans_aligned", "group_random_forest"])
+@pytest.mark.parametrize("name", ["conn_kmeans_aligned", "group_random_forest"])
 def test_fit_query_scores_every_row(spark, con, name):
     cells = queries()[name](spark, SMOKE_DIR).collect()
     source = "conn_test_dataset" if name.startswith("conn") else None
