@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
-from pulsetrace.models import store
+from pulsetrace.models import store, training
 from pulsetrace.models.specs import SPECS
 from pulsetrace.models.training import fit, fit_features, fit_kmeans_seeds
 from pulsetrace.plans.runs import Report, evaluate, run
@@ -235,6 +235,25 @@ def test_report_slices(spark):
     assert report.named_cells.count() == 3
 
 
+def test_kmeans_ends_at_a_fixed_point(spark):
+    df = groups(spark)
+    model = fit(SPECS["group_kmeans"].with_params(maxIter=100, tol=1e-9), df)
+    columns = SPECS["group_kmeans"].features
+    means = model.score(df).groupBy("prediction").agg(*[F.avg(c).alias(c) for c in columns])
+    for row in means.collect():
+        centre = model.estimator.clusterCenters()[row["prediction"]]
+        assert [row[c] for c in columns] == pytest.approx(list(centre), abs=1e-9)
+
+
+def test_forest_bins_are_not_raised_without_limit(spark, monkeypatch):
+    monkeypatch.setattr(training, "MAX_AUTO_BINS", 40)
+    wide = connections(spark).withColumn("history", F.concat("history", "orig_h"))
+    spec = SPECS["conn_random_forest"].with_params(maxBins=32, numTrees=2, maxDepth=2)
+    with pytest.raises(Exception, match="maxBins"):
+        fit(spec, wide)
+    assert fit(spec.with_params(maxBins=2000), wide).estimator.getOrDefault("maxBins") == 2000
+
+
 def test_unaligned_clusters_keep_their_ids(spark):
     model = fit(SPECS["group_kmeans"], groups(spark))
     assert isinstance(model.estimator, KMeansModel)
