@@ -1,6 +1,7 @@
 """What the corpus operators share: reading, held-out remainders, written intermediate tables."""
 
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,12 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_scratch
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers find this package where the driver has it; a job that ships it needs no path.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
