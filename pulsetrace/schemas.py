@@ -13,6 +13,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+# Field names of the logs and of the labelled datasets, in file order.
 CONN_LOG_COLUMNS = (
     "ts", "uid", "orig_h", "orig_p", "resp_h", "resp_p", "proto", "service", "duration",
     "orig_bytes", "resp_bytes", "conn_state", "local_orig", "local_resp", "missed_bytes",
@@ -37,7 +38,7 @@ def _fields(*pairs):
     return StructType([StructField(name, kind(), True) for name, kind in pairs])
 
 
-# Byte and packet counters are 64-bit: one long transfer overflows an int.
+# Fixed values, as above. Byte and packet counters are 64-bit: one long transfer overflows an int.
 CONN = _fields(
     ("orig_h", StringType),
     ("orig_p", IntegerType),

@@ -1,31 +1,28 @@
 """Partition layout before work that passes over the rows many times."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 50_000
+_COPIES_PER_ROW = 100_000
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer splits than the session has task slots.
-
-    Large inputs have far more splits than slots and pass through unchanged; only
-    a small input is counted (from file footers) and shuffled, into no more
-    tasks than its rows fill. Give it a plain scan: asking a plan with shuffles
-    for its partitions would run them.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= slots:
-        return scan
-    return scan.repartition(min(slots, scan.count() // ROWS_PER_TASK + 1))
-
-
-def stable_layout(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
-    """Same rows in the same partitions and order on every run, for seeded fits.
+def stable_layout(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Same rows in the same partitions and order on every run and every machine.
 
-    A forest draws its samples per partition. Name enough keys to spread the
-    rows: with all of a row's columns only exact copies stay together.
+    The number of partitions follows from the number of rows alone, and a row's partition from its
+    values: a forest draws its samples per partition, so its trees then depend on the data
+    only. Copies of a row are counted before the shuffle and dealt out one by one after
+    it, so a row that is repeated often does not meet in one task.
     """
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    columns = df.columns
+    counted = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    rows = df.count()
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / _COPIES_PER_ROW)))
+    blocks = counted.withColumn("_block", block)
+    first = F.col("_block") * _COPIES_PER_ROW
+    last = F.least(first + _COPIES_PER_ROW, F.col("_copies")) - 1
+    each = blocks.withColumn("_copy", F.explode(F.sequence(first, last)))
+    keys = [*columns, "_copy"]
+    dealt = each.repartition(max(1, -(-rows // rows_per_task)), F.xxhash64(*keys))
+    return dealt.sortWithinPartitions(*keys).select(*columns)

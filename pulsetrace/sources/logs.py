@@ -9,9 +9,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..fixed_values import NA_TOKENS
 from ..functions.columns import file_extension, na_to_null
 from ..schemas import CONN_LOG_COLUMNS, GROUP_LOG_COLUMNS
+from .scratch import new_scratch
 
 CORRUPT = "corrupt_line"
 SOURCE_FILE = "source_file"
+SHOWN = "="
 
 
 def read_conn_logs(
@@ -19,37 +21,70 @@ def read_conn_logs(
 ) -> DataFrame:
     """Tab-separated connection logs; lines that begin with ``#`` are headers or footers."""
     reader = spark.read.option("sep", "\t").option("comment", "#")
-    return _scan(reader, path, CONN_LOG_COLUMNS, na_tokens)
+    return _scan(reader, spark, path, CONN_LOG_COLUMNS, na_tokens, "\t")
 
 
 def read_group_logs(
     spark: SparkSession, path: str | list[str], na_tokens: Sequence[str] = NA_TOKENS
 ) -> DataFrame:
     """Comma-separated session-group files without a header."""
-    return _scan(spark.read, path, GROUP_LOG_COLUMNS, na_tokens)
+    return _scan(spark.read, spark, path, GROUP_LOG_COLUMNS, na_tokens, ",")
 
 
 def text_schema(columns: Sequence[str]) -> StructType:
-    """All-text schema; lines with another number of fields are kept whole in ``CORRUPT``."""
+    """All-text schema; a line with another number of fields is also kept whole, in ``CORRUPT``."""
     return StructType([StructField(name, StringType(), True) for name in (*columns, CORRUPT)])
 
 
-def text_fields(df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str]) -> DataFrame:
+def text_fields(
+    df: DataFrame, columns: Sequence[str], na_tokens: Sequence[str], sep: str = ","
+) -> DataFrame:
+    """Fields with unset ones as null; ``CORRUPT`` holds lines with too many fields.
+
+    A line with too few is kept: its last fields are null, and each model's own list of
+    required columns decides what that means.
+    """
     # Spark refuses scans that need nothing but the corrupt line, such as a count of the others;
     # naming a field beside it avoids that.
     line = F.coalesce(F.col(CORRUPT), F.col(columns[0]))
+    wide = F.size(F.split(F.col(CORRUPT), sep)) > len(df.columns) - 1
     return df.select(
         *[na_to_null(F.col(c), na_tokens).alias(c) for c in columns],
-        F.when(F.col(CORRUPT).isNotNull(), line).alias(CORRUPT),
-        F.col("_metadata.file_name").alias(SOURCE_FILE),
+        F.when(F.col(CORRUPT).isNotNull() & wide, line).alias(CORRUPT),
+        F.rtrim(F.col("_metadata.file_name"), F.lit(SHOWN)).alias(SOURCE_FILE),
     )
 
 
-def _scan(reader, path, columns, na_tokens):
+def _visible(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """``path`` and, where its folders hold files named ``_x``, copies that Spark does not skip.
+
+    Spark takes names with a leading underscore for its own marks unless an equals sign is in them.
+    Such captures are rare; they are copied to the scratch folder, with the sign appended.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    copies = None
+    for name in list(paths):
+        files = fs.Path(name).getFileSystem(conf)
+        for found in files.globStatus(fs.Path(name)) or []:
+            for status in files.listStatus(found.getPath()):
+                file = status.getPath()
+                if not status.isFile() or not file.getName().startswith("_") or "=" in file.getName():
+                    continue
+                if copies is None:
+                    copies = new_scratch(spark, "underscored")
+                    paths.append(copies)
+                to = fs.Path(f"{copies}/{file.getName()}{SHOWN}")
+                fs.FileUtil.copy(files, file, to.getFileSystem(conf), to, False, conf)
+    return paths
+
+
+def _scan(reader, spark, path, columns, na_tokens, sep):
     # Without pruning a line's width is checked whichever columns are read later.
     raw = reader.option("columnPruning", False).csv(
-        path, schema=text_schema(columns), mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+        _visible(spark, path), schema=text_schema(columns), mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     )
     # Spark skips dot-files and sub-folders by itself; this drops "<name>.DS_Store" too.
-    df = text_fields(raw, columns, na_tokens)
+    df = text_fields(raw, columns, na_tokens, sep)
     return df.where(file_extension(SOURCE_FILE) != "DS_Store")

@@ -54,6 +54,7 @@ def edge_logs(spark, tmp_path):
         ],
         no_footer__log=HEADER + [line(uid="last", duration="NaN")],
     )
+    (tmp_path / "logs" / "_b.log").write_text(line(uid="shown") + "\n")
     (tmp_path / "logs" / ".DS_Store").write_text("x\ty\n")
     (tmp_path / "logs" / "old.DS_Store").write_text("x\ty\n")
     (tmp_path / "logs" / "inner").mkdir()
@@ -68,7 +69,7 @@ def uids(df):
 def test_scan_drops_comment_lines_and_keeps_every_other_line(edge_logs):
     assert uids(edge_logs) == sorted([
         "whole", "unset-number", "unset-category", "empty-number", "long-number", "short-line",
-        "wide-line", "fraction", "last",
+        "wide-line", "fraction", "last", "shown",
     ])
 
 
@@ -76,8 +77,9 @@ def test_scan_names_the_file_and_the_lines_of_wrong_width(edge_logs):
     rows = {r["uid"]: r for r in edge_logs.select("uid", CORRUPT, "source_file").collect()}
     assert rows["whole"][CORRUPT] is None and rows["whole"]["source_file"] == "amazon.log"
     assert rows["last"]["source_file"] == "no-footer.log"
-    assert rows["short-line"][CORRUPT] and rows["wide-line"][CORRUPT]
-    assert edge_logs.where(F.col(CORRUPT).isNotNull()).count() == 2
+    assert rows["short-line"][CORRUPT] is None and rows["wide-line"][CORRUPT]
+    assert rows["shown"]["source_file"] == "_b.log"
+    assert edge_logs.where(F.col(CORRUPT).isNotNull()).count() == 1
 
 
 SCHEMA = without_label(CONN)
@@ -90,17 +92,19 @@ def kept(df, required):
 
 
 def test_required_columns_decide_which_rows_survive(edge_logs):
-    everything = {"whole", "unset-category", "empty-number", "long-number", "last"}
+    everything = {
+        "whole", "unset-category", "empty-number", "long-number", "last", "short-line", "shown",
+    }
     assert set(kept(edge_logs, SCHEMA.names)) == everything
     assert set(kept(edge_logs, ["proto", "service"])) == everything | {"unset-number", "fraction"}
 
 
 def test_row_count_does_not_depend_on_the_columns_read(edge_logs):
     good = T.accept_rows(edge_logs, SCHEMA)
-    assert good.count() == 5
+    assert good.count() == 7
     for column in ("service", "orig_bytes", "resp_h"):
-        assert len(good.select(column).collect()) == 5
-    assert good.groupBy("proto").count().collect()[0]["count"] == 5
+        assert len(good.select(column).collect()) == 7
+    assert good.groupBy("proto").count().collect()[0]["count"] == 7
 
 
 def test_typed_values(edge_logs):
@@ -117,21 +121,31 @@ def test_accept_and_reject_share_all_rows(edge_logs):
         good = T.accept_rows(edge_logs, SCHEMA, required).count()
         assert good + T.reject_rows(edge_logs, SCHEMA, required).count() == edge_logs.count()
     reasons = T.reject_rows(edge_logs, SCHEMA, ["orig_bytes"]).select(T.REASON).collect()
-    assert sorted(r[0] for r in reasons) == [CORRUPT, CORRUPT, "orig_bytes", "orig_bytes"]
+    assert sorted(r[0] for r in reasons) == [CORRUPT, "orig_bytes", "orig_bytes"]
 
 
 def test_parse_once_then_choose_each_models_rows(spark, edge_logs):
     path = new_scratch(spark, "landed")
     D.write_labelled(T.parse_typed(edge_logs, SCHEMA), path)
     landed = D.read_labelled(spark, path, T.landed_schema(SCHEMA))
-    assert landed.count() == 9
+    assert landed.count() == 10
     for required in (SCHEMA.names, ["proto"], ["orig_bytes", "resp_bytes"]):
         want = T.accept_rows(edge_logs, SCHEMA, required)
         assert T.population(landed, required).exceptAll(want).count() == 0
         assert T.population(landed, required).count() == want.count()
     bad = T.quarantine(landed, ["orig_bytes"]).select(T.BAD_VALUES).collect()
     texts = sorted(r[0].get("orig_bytes", "") for r in bad)
-    assert texts == ["", "", "-", "1.5"]
+    assert texts == ["", "-", "1.5"]
+
+
+def test_a_short_line_loses_only_what_it_lacks(spark, tmp_path):
+    fields = line().split("\t")
+    folder = log_folder(tmp_path / "short", a__log=["\t".join(fields[:n]) for n in (21, 20, 17, 3)])
+    logs = read_conn_logs(spark, folder)
+    assert logs.where(F.col(CORRUPT).isNotNull()).isEmpty()
+    rows = T.accept_rows(logs, SCHEMA, ["proto", "service"]).collect()
+    assert len(rows) == 4
+    assert [sum(v is None for v in r) for r in sorted(rows, key=lambda r: -sum(v is None for v in r))] == [14, 3, 0, 0]
 
 
 def test_group_scan(spark, tmp_path):
