@@ -67,6 +67,25 @@ def string_index_unseen(spark, sf_dir):
     return index.transform(conns).select(*INDEXED_COLUMNS)
 
 
+INVALID_KEPT = """
+SELECT orig_h, orig_p, resp_h, history, x.idx AS history_index, route
+FROM conn_v c JOIN ix_history x ON c.history = x.value, (VALUES ('metadata'), ('table')) r(route)"""
+
+
+@query(CONN + ",\none_capture AS (SELECT * FROM conn_v WHERE source_file = 'beacon-AO.log'),"
+       + index_cte("ix_history", "one_capture", "history") + INVALID_KEPT)
+def string_index_skip_unseen(spark, sf_dir):
+    """``handle_invalid='skip'`` on both routes: rows with a value the fit has not seen go."""
+    conns = S.connections(spark, sf_dir)
+    seen = conns.where(F.col("source_file") == "beacon-AO.log")
+    parts = [
+        fit_index(seen, ["history"], limit, "skip").transform(conns)
+        .select("orig_h", "orig_p", "resp_h", "history", "history_index", F.lit(route).alias("route"))
+        for route, limit in (("metadata", None), ("table", 0))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(CONN + "," + index_cte("ix_history", "conn_v", "history")
        + "SELECT value AS history, idx AS history_index FROM ix_history")
 def index_pairs(spark, sf_dir):

@@ -108,7 +108,7 @@ def indicator_label(spark, sf_dir):
 
 @query(LABELLED + "SELECT orig_h, orig_p, resp_h, label FROM conn_labelled")
 def indicator_label_salted(spark, sf_dir):
-    """The same labels by the route for address lists too large to broadcast."""
+    """The same labels by the route for address lists too large to broadcast: a splittable join."""
     labelled = label_by_indicator(
         S.connections(spark, sf_dir), S.indicators(spark, sf_dir), "resp_h", FORCE_SHUFFLE
     )

@@ -14,9 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_scratch
-from .lookup import lookup
+from .lookup import broadcast_size, lookup
 
-# Vocabularies up to this size go through the driver into model metadata.
+# Vocabularies up to this size go through the driver into model metadata; larger ones are tables
+# with the same result. None puts all of them into metadata.
 MAX_DRIVER_LABELS = 20_000
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
@@ -36,17 +37,32 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def rank_values(counts: DataFrame, path: str) -> DataFrame:
-    """(value, count, index) for one column's counts, without gathering them in one task.
+@dataclass
+class IndexTable:
+    """A vocabulary as a written table (value, count, index), with its rows and bytes."""
+
+    df: DataFrame
+    rows: int
+    size: int
+
+
+def read_index_table(spark: SparkSession, path: str) -> IndexTable:
+    df = spark.read.parquet(path)
+    return IndexTable(df, df.count(), broadcast_size(df.select("value", "index")))
+
+
+def rank_values(counts: DataFrame, path: str) -> IndexTable:
+    """``counts`` of one column ranked and written, without gathering them in one task.
 
     A range-partitioned sort is written out, so that partition numbers and
     positions are settled; then each partition's starting rank, a cumulative sum
-    over one number per partition, is added.
+    over one number per partition, is added and the table written with it.
     """
+    sorted_path = f"{path}-sorted"
     counts.select("value", "count").orderBy(F.desc("count"), "value").withColumn(
         "position", F.monotonically_increasing_id()
-    ).write.mode("overwrite").parquet(path)
-    written = counts.sparkSession.read.parquet(path).select(
+    ).write.mode("overwrite").parquet(sorted_path)
+    written = counts.sparkSession.read.parquet(sorted_path).select(
         "value",
         "count",
         F.shiftright("position", _POSITION_BITS).alias("part"),
@@ -56,18 +72,29 @@ def rank_values(counts: DataFrame, path: str) -> DataFrame:
     sizes = written.groupBy("part").count().withColumnRenamed("count", "size")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return written.join(F.broadcast(starts), "part").select(
+    written.join(F.broadcast(starts), "part").select(
         "value", "count", (F.col("start") + F.col("place")).cast("double").alias("index")
-    )
+    ).write.mode("overwrite").parquet(path)
+    return read_index_table(counts.sparkSession, path)
 
 
-def apply_index_table(df: DataFrame, table: DataFrame, column: str, **options) -> DataFrame:
-    """Add ``<column>_index`` from an index table; unseen and null values get its row count."""
-    unseen = float(table.count())
+def apply_index_table(
+    df: DataFrame, table: IndexTable, column: str, handle_invalid: str = "keep", **options
+) -> DataFrame:
+    """Add ``<column>_index`` from an index table; no pass over the table is needed beforehand.
+
+    Unseen and null values get the number of categories (``keep``), lose their row (``skip``)
+    or fail the query when they are met (``error``).
+    """
     name = index_name(column)
-    dim = table.select(F.col("value").alias(column), F.col("index").alias(name))
-    found = lookup(df, dim, column, "left", **options)
-    return found.withColumn(name, F.coalesce(name, F.lit(unseen)))
+    dim = table.df.select(F.col("value").alias(column), F.col("index").alias(name))
+    found = lookup(df, dim, column, "left", size=table.size, **options)
+    if handle_invalid == "skip":
+        return found.where(F.col(name).isNotNull())
+    if handle_invalid == "error":
+        said = F.concat(F.lit(f"{column}: unseen value "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+        return found.withColumn(name, F.coalesce(name, F.raise_error(said).cast("double")))
+    return found.withColumn(name, F.coalesce(name, F.lit(float(table.rows))))
 
 
 @dataclass
@@ -75,7 +102,8 @@ class CategoryIndex:
     """Fitted indexes: ``models`` for small vocabularies, ``tables`` for the others."""
 
     models: list[StringIndexerModel] = field(default_factory=list)
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, IndexTable] = field(default_factory=dict)
+    handle_invalid: str = "keep"
 
     def transform(self, df: DataFrame) -> DataFrame:
         for model in self.models:
@@ -84,23 +112,23 @@ class CategoryIndex:
 
     def apply_tables(self, df: DataFrame) -> DataFrame:
         for column, table in self.tables.items():
-            df = apply_index_table(df, table, column)
+            df = apply_index_table(df, table, column, self.handle_invalid)
         return df
 
 
 def fit_index(
     df: DataFrame,
     columns: Sequence[str],
-    max_driver_labels: int = MAX_DRIVER_LABELS,
+    max_driver_labels: int | None = MAX_DRIVER_LABELS,
     handle_invalid: str = "keep",
 ) -> CategoryIndex:
-    """Index every column; unseen and null values will get the number of categories."""
+    """Index every column; ``handle_invalid`` (keep, skip, error) is for unseen and null values."""
     spark: SparkSession = df.sparkSession
     counts = category_counts(df, columns).persist()
     try:
         sizes = dict.fromkeys(columns, 0)
         sizes.update((r["column"], r["count"]) for r in counts.groupBy("column").count().collect())
-        small = [c for c in columns if sizes[c] <= max_driver_labels]
+        small = [c for c in columns if max_driver_labels is None or sizes[c] <= max_driver_labels]
         labels = {c: [] for c in small}
         rows = counts.where(F.col("column").isin(*small)).collect() if small else []
         for r in sorted(rows, key=lambda r: (-r["count"], r["value"])):
@@ -119,7 +147,7 @@ def fit_index(
         }
     finally:
         counts.unpersist()
-    return CategoryIndex(models, tables)
+    return CategoryIndex(models, tables, handle_invalid)
 
 
 def index_pairs(df: DataFrame, column: str) -> DataFrame:

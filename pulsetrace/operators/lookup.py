@@ -6,17 +6,13 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_scratch
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 _ROW_OVERHEAD = 64
-_SALT = "_salt"
 
 
-def fits_broadcast(dim: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the dimension's keys, measured over all its rows, stay below ``limit`` bytes."""
-    size = dim.agg(
-        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(_ROW_OVERHEAD)), F.lit(0))
-    ).first()[0]
-    return size <= limit
+def broadcast_size(dim: DataFrame) -> int:
+    """Bytes of the dimension's whole rows, measured over all of them."""
+    columns = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns]
+    return dim.agg(F.coalesce(F.sum(sum(columns, F.lit(_ROW_OVERHEAD))), F.lit(0))).first()[0]
 
 
 def seen_keys(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
@@ -36,25 +32,20 @@ def lookup(
     key: str,
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
     shrink: bool = False,
+    size: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, whose ``key`` values are distinct.
 
     With ``shrink``, a dimension over the limit is first cut to the keys that
-    occur. One still over it is joined by shuffle, each of its rows repeated once
-    per salt. A fact row's salt is its partition number, so one key's rows
-    go to ``salts`` tasks, and a task that is run again makes the same choice.
+    occur. One still over it is joined by a sort-merge join: its other side may be split, so
+    adaptive execution deals a hot key's fact rows to as many tasks as their bytes fill.
+    ``size`` is the dimension's size in bytes where the caller knows it.
     """
     added = [] if how == "left_semi" else [c for c in dim.columns if c != key]
-    small = fits_broadcast(dim, key, broadcast_bytes)
+    small = (broadcast_size(dim) if size is None else size) <= broadcast_bytes
     if shrink and not small:
         dim = seen_keys(facts, dim, key)
-        small = fits_broadcast(dim, key, broadcast_bytes)
-    if small:
-        joined = facts.join(F.broadcast(dim), key, how)
-    else:
-        salted_facts = facts.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
-        salted_dim = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted_facts.join(salted_dim.hint("merge"), [key, _SALT], how)
+        small = broadcast_size(dim) <= broadcast_bytes
+    joined = facts.join(F.broadcast(dim) if small else dim.hint("merge"), key, how)
     return joined.select(*facts.columns, *added)

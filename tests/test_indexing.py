@@ -59,6 +59,29 @@ def test_unseen_and_null_get_the_number_of_categories(spark):
         assert sorted(r["c_index"] for r in out.collect()) == [1.0, 2.0, 2.0]
 
 
+@pytest.mark.parametrize("limit", [None, 100, 0])
+def test_invalid_values_by_both_routes(spark, limit):
+    train = spark.createDataFrame([("a",), ("a",), ("b",)], "c string")
+    test = spark.createDataFrame([("b",), ("zzz",), (None,), ("a",)], "c string")
+    fitted = lambda how: I.fit_index(train, ["c"], limit, how).transform(test)
+    assert sorted(r["c_index"] for r in fitted("keep").collect()) == [0.0, 1.0, 2.0, 2.0]
+    assert sorted(r["c_index"] for r in fitted("skip").collect()) == [0.0, 1.0]
+    with pytest.raises(Exception, match="(?i)unseen|null"):
+        fitted("error").collect()
+
+
+def test_tables_are_applied_without_a_job(spark):
+    df = frame(spark)
+    index = I.fit_index(df, COLUMNS, max_driver_labels=0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("apply", "apply")
+    try:
+        index.transform(df)
+        assert not tracker.getJobIdsForGroup("apply")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_a_column_of_nulls_has_no_categories(spark):
     df = spark.createDataFrame([("a", None), ("b", None)], "c string, d string")
     for limit in (100, 0):
@@ -77,7 +100,9 @@ def test_rank_over_many_sorted_partitions(spark):
         F.format_string("v%05d", F.col("id")).alias("value"),
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 4 + 1).alias("count"),
     )
-    ranked = I.rank_values(values, new_scratch(spark, "rank")).collect()
+    table = I.rank_values(values, new_scratch(spark, "rank"))
+    ranked = table.df.collect()
+    assert table.rows == 5000 and table.size > 5000 * 64
     order = sorted(ranked, key=lambda r: (-r["count"], r["value"]))
     assert [r["index"] for r in order] == [float(i) for i in range(5000)]
 

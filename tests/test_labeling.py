@@ -10,7 +10,7 @@ from pulsetrace.fixed_values import (
 from pulsetrace.functions.columns import capture_stem
 from pulsetrace.operators import labeling as L
 from pulsetrace.operators import rows as R
-from pulsetrace.operators.lookup import fits_broadcast, lookup
+from pulsetrace.operators.lookup import broadcast_size, lookup
 
 HIT, MISS = "203.0.113.9", "198.51.100.1"
 
@@ -54,21 +54,46 @@ def test_literal_list_needs_no_join(spark):
 def test_address_list_is_broadcast_only_below_its_limit(spark):
     facts = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     dim = spark.range(100).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
-    assert fits_broadcast(dim, "k") and not fits_broadcast(dim, "k", 100)
+    assert 100 * 60 < broadcast_size(dim) < 100 * 80
     assert "BroadcastHashJoin" in plan(lookup(facts, dim, "k"))
-    salted = lookup(facts, dim, "k", broadcast_bytes=100)
-    assert "SortMergeJoin" in plan(salted) and "BroadcastHashJoin" not in plan(salted)
-    assert salted.where("v = 1").count() == 100 and salted.count() == 1000
-
-
-def test_salting_keeps_every_copy_of_a_hot_key(spark):
-    facts = spark.range(0, 30_000, 1, 16).select(
-        F.when(F.col("id") < 20_000, "hot").otherwise(F.col("id").cast("string")).alias("k")
-    )
-    dim = spark.createDataFrame([("hot", 7), ("25000", 8)], "k string, v int")
-    joined = lookup(facts, dim, "k", broadcast_bytes=-1, salts=8)
-    assert joined.count() == 30_000
-    assert joined.where("v = 7").count() == 20_000 and joined.where("v = 8").count() == 1
+    assert "BroadcastHashJoin" not in plan(lookup(facts, dim, "k", size=10**12))
+    merged = lookup(facts, dim, "k", broadcast_bytes=100)
+    assert "SortMergeJoin" in plan(merged) and "BroadcastHashJoin" not in plan(merged)
+    assert merged.where("v = 1").count() == 100 and merged.count() == 1000
+    assert merged.exceptAll(lookup(facts, dim, "k")).isEmpty()
+
+
+def test_the_size_of_a_list_counts_all_its_columns(spark):
+    wide = spark.range(10).select(F.col("id").cast("string").alias("k"), F.repeat(F.lit("x"), 10_000).alias("v"))
+    assert broadcast_size(wide) > 100_000
+    assert broadcast_size(wide.where("k = 'none'")) == 0
+
+
+def test_a_hot_key_is_dealt_to_more_tasks_the_more_rows_it_has(spark):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    dim = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.lit(7).alias("v"))
+    tasks = []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for hot in (50_000, 400_000):
+            facts = spark.range(0, hot + 5_000, 1, 16).select(
+                F.when(F.col("id") < hot, "5").otherwise((F.col("id") % 1000).cast("string")).alias("k"),
+                F.sha2(F.col("id").cast("string"), 256).alias("other"),
+            )
+            joined = lookup(facts, dim, "k", broadcast_bytes=-1)
+            rows = joined.select("k", "v", "other", F.spark_partition_id().alias("task")).collect()
+            assert len(rows) == hot + 5_000 and {r["v"] for r in rows} == {7}
+            tasks.append(len({r["task"] for r in rows if r["k"] == "5"}))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 1 < tasks[0] < tasks[1]
 
 
 def test_a_large_list_that_meets_few_addresses_is_cut_and_broadcast(spark):
