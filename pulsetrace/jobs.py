@@ -6,7 +6,9 @@ evaluate  saved pipeline + labelled dataset -> metrics, confusion, missed, alarm
 """
 
 import argparse
+import json
 import random
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,16 @@ from pyspark.sql import functions as F
 from pulsetrace.models import store
 from pulsetrace.models.specs import SPECS
 from pulsetrace.models.training import fit, fit_kmeans_seeds
+from pulsetrace.operators.indexing import MAX_DRIVER_LABELS
 from pulsetrace.operators.labeling import union_classes
 from pulsetrace.operators.rows import class_summary
 from pulsetrace.plans import datasets
 from pulsetrace.plans.runs import Report, evaluate
 from pulsetrace.schemas import CONN, DOTTED_NAMES, GROUP
 from pulsetrace.sources.datasets import read_labelled, read_labelled_csv, write_labelled
-from pulsetrace.sources.layout import stable_layout
+from pulsetrace.sources.layout import ROWS_PER_TASK
 from pulsetrace.sources.logs import CORRUPT, read_conn_logs, read_group_logs
+from pulsetrace.sources.scratch import remove_scratch
 from pulsetrace.sources.typed import accept_rows, landed_schema, parse_typed, population
 
 KINDS = {
@@ -60,19 +64,27 @@ def load_labelled(spark: SparkSession, path: str, schema, required, fmt="parquet
 
 
 def fit_job(
-    spark, spec_name, data, models, seeds=None, keep="best", fmt="parquet", stable=None
+    spark,
+    spec_name,
+    data,
+    models,
+    seeds=None,
+    keep="best",
+    fmt="parquet",
+    params=None,
+    max_bins=None,
+    max_driver_labels=MAX_DRIVER_LABELS,
+    rows_per_task=ROWS_PER_TASK,
 ) -> str:
-    """Fit and save; ``stable`` fixes the partitions, for a forest that must be repeatable."""
-    spec = SPECS[spec_name]
+    """Fit and save; ``params`` are set over the pipeline's own estimator parameters."""
+    spec = replace(SPECS[spec_name].with_params(**(params or {})), max_bins=max_bins)
     train = load_labelled(spark, data, spec.schema, spec.required, fmt)
-    if stable:
-        train = stable_layout(train, train.columns, stable)
     if seeds:
-        model, runs = fit_kmeans_seeds(spec, train, seeds, keep)
+        model, runs = fit_kmeans_seeds(spec, train, seeds, keep, max_driver_labels, rows_per_task)
         for run in runs:
             print(f"seed {run.seed} silhouette {run.silhouette}{' kept' if run.kept else ''}")
     else:
-        model = fit(spec, train)
+        model = fit(spec, train, max_driver_labels, rows_per_task)
     return store.save(model, models)
 
 
@@ -83,10 +95,13 @@ def evaluate_job(spark, model_path, data, out, align_with=None, fmt="parquet") -
     if align_with:
         train = load_labelled(spark, align_with, spec.schema, spec.required, fmt)
     test = load_labelled(spark, data, spec.schema, spec.required_at_test, fmt)
-    # Written once, so that the four reports do not score the rows four times.
+    # Rows and cells are written once: no report scores again, and none but the slices
+    # reads the scored rows.
     scored = evaluate(model, test, train).scored.select(*spec.schema.names, "prediction")
     scored.write.mode("overwrite").parquet(f"{out}/scored")
-    report = Report(spark.read.parquet(f"{out}/scored"))
+    scored = spark.read.parquet(f"{out}/scored")
+    write_labelled(Report(scored).cells, f"{out}/cells")
+    report = Report(scored, spark.read.parquet(f"{out}/cells"))
     write_labelled(report.named_cells, f"{out}/confusion")
     write_labelled(report.metrics, f"{out}/metrics")
     write_labelled(report.missed, f"{out}/missed")
@@ -108,7 +123,12 @@ def main(argv=None):
     f.add_argument("--models", required=True)
     f.add_argument("--seeds", nargs="*", type=int, help="k-means: one fit per seed")
     f.add_argument("--rounds", type=int, help="k-means: as many random seeds instead")
-    f.add_argument("--stable", type=int, help="partitions of a repeatable layout")
+    f.add_argument("--rows-per-task", type=int, default=ROWS_PER_TASK, help="rows of one partition of a fit")
+    f.add_argument("--max-bins", type=int, help="forests: fail where more bins are needed")
+    f.add_argument("--max-driver-labels", type=int, default=MAX_DRIVER_LABELS,
+                   help="larger vocabularies are kept as tables, with the same result")
+    f.add_argument("--param", action="append", default=[], metavar="NAME=VALUE",
+                   help="estimator parameter, VALUE as JSON, such as maxIter=200")
     f.add_argument("--keep", choices=("best", "last"), default="best")
     e = jobs.add_parser("evaluate")
     e.add_argument("--model", required=True)
@@ -126,12 +146,14 @@ def main(argv=None):
         seeds = args.seeds
         if args.rounds:
             seeds = [random.randint(0, 10**11) for _ in range(args.rounds)]
+        params = {k: json.loads(v) for k, v in (p.split("=", 1) for p in args.param)}
         print(fit_job(spark, args.spec, args.data, args.models, seeds, args.keep, args.format,
-                      args.stable))
+                      params, args.max_bins, args.max_driver_labels, args.rows_per_task))
     else:
         report = evaluate_job(spark, args.model, args.data, args.out, args.align_with, args.format)
         report.named_cells.show()
         report.metrics.show(vertical=True)
+    remove_scratch(spark)
 
 
 if __name__ == "__main__":

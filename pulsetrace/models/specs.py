@@ -18,7 +18,8 @@ class ModelSpec:
 
     ``required`` are the columns whose malformed values drop a row before the
     fit; ``drop_nulls`` and ``drop_test_nulls`` tell whether rows with any null
-    are dropped from the training and from the test rows.
+    are dropped from the training and from the test rows. A forest has a bin for
+    every category; ``max_bins`` makes a fit that needs more fail.
     """
 
     name: str
@@ -32,6 +33,7 @@ class ModelSpec:
     handle_null: str = "error"
     scale: bool = False
     one_hot: bool = False
+    max_bins: int | None = None
 
     @property
     def supervised(self) -> bool:

@@ -1,30 +1,58 @@
-"""Save and load fitted pipelines, one folder per pipeline name."""
+"""Save and load fitted pipelines, one folder per pipeline name.
+
+A save writes a complete new version beside the older ones and only then the note that names it, as
+one new file. A save that fails leaves the model as it was, and a loaded model can be saved
+where it came from.
+"""
+
+import json
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from ..operators.indexing import read_index_table
 from .specs import ModelSpec
 from .training import FittedModel
 
-CONTENTS = "spec string, tables array<string>"
+NOTE = "contents string"
 
 
 def save(model: FittedModel, root: str) -> str:
-    """Overwrite ``<root>/<spec name>`` with the whole pipeline and any index tables."""
+    """A new version of ``<root>/<spec name>``: the whole pipeline and any index tables."""
     path = f"{root.rstrip('/')}/{model.spec.name}"
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.active()
+    number = max([n for n, _ in _notes(spark, path)], default=0) + 1
+    version = f"version-{number}-{uuid.uuid4().hex[:8]}"
+    model.pipeline.write().save(f"{path}/{version}/pipeline")
     for column, table in model.tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/index/{column}")
-    note = [(model.spec.to_json(), sorted(model.tables))]
-    SparkSession.active().createDataFrame(note, CONTENTS).coalesce(1).write.mode(
-        "overwrite"
-    ).json(f"{path}/contents")
+        table.df.write.parquet(f"{path}/{version}/index/{column}")
+    note = {"version": version, "spec": model.spec.to_json(), "tables": sorted(model.tables)}
+    (spark.createDataFrame([(json.dumps(note),)], NOTE).coalesce(1)
+        .write.text(f"{path}/notes/{number:08d}"))
     return path
 
 
+def _notes(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of every note that was written to its end."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/notes")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [(int(n), f"{path}/notes/{n}") for n in names
+            if n.isdigit() and files.exists(new(f"{path}/notes/{n}/_SUCCESS"))]
+
+
 def load(spark: SparkSession, path: str) -> FittedModel:
-    contents = spark.read.schema(CONTENTS).json(f"{path}/contents").first()
-    tables = {c: spark.read.parquet(f"{path}/index/{c}") for c in contents["tables"]}
+    """The newest complete version."""
+    notes = _notes(spark, path)
+    if not notes:
+        raise FileNotFoundError(f"no saved model below {path}")
+    note = json.loads(spark.read.text(max(notes)[1]).first()[0])
+    base = f"{path}/{note['version']}"
+    tables = {c: read_index_table(spark, f"{base}/index/{c}") for c in note["tables"]}
     return FittedModel(
-        ModelSpec.from_json(contents["spec"]), PipelineModel.load(f"{path}/pipeline"), tables
+        ModelSpec.from_json(note["spec"]), PipelineModel.load(f"{base}/pipeline"), tables
     )

@@ -20,8 +20,9 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel
 from pyspark.sql import DataFrame
 
 from ..operators.clusters import align_clusters, cluster_label_map, silhouette
-from ..operators.indexing import MAX_DRIVER_LABELS, CategoryIndex, fit_index
+from ..operators.indexing import MAX_DRIVER_LABELS, CategoryIndex, IndexTable, fit_index
 from ..operators.rows import drop_null_rows
+from ..sources.layout import ROWS_PER_TASK, stable_layout
 from . import specs
 from .specs import ModelSpec
 
@@ -33,8 +34,8 @@ ESTIMATORS = {
     specs.PERCEPTRON: MultilayerPerceptronClassifier,
 }
 
-
-MAX_AUTO_BINS = 5_000
+# Families whose fit passes over the rows many times or samples them per partition.
+LAID_OUT = (specs.KMEANS, specs.LINEAR_SVM, specs.RANDOM_FOREST, specs.PERCEPTRON)
 
 
 @dataclass
@@ -43,7 +44,7 @@ class FittedModel:
 
     spec: ModelSpec
     pipeline: PipelineModel
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, IndexTable] = field(default_factory=dict)
 
     @property
     def estimator(self):
@@ -60,18 +61,26 @@ def training_rows(spec: ModelSpec, train: DataFrame) -> DataFrame:
     return drop_null_rows(train, spec.required) if spec.drop_nulls else train
 
 
+def laid_out(spec: ModelSpec, train: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The columns the fit reads, in a layout that depends on the rows alone where that matters."""
+    names = [*spec.categories, *spec.numbers, *(["label"] if spec.supervised else [])]
+    rows = training_rows(spec, train).select(*names)
+    return stable_layout(rows, rows_per_task) if spec.family in LAID_OUT else rows
+
+
 def fit_features(
-    spec: ModelSpec, train: DataFrame, max_driver_labels: int = MAX_DRIVER_LABELS
+    spec: ModelSpec, train: DataFrame, max_driver_labels: int | None = MAX_DRIVER_LABELS
 ) -> FittedModel:
-    """The feature half of the pipeline, fitted; ``score`` of the result adds ``features``."""
+    """The feature half of the pipeline, fitted; ``score`` of the result adds ``features``.
+
+    ``max_driver_labels`` only chooses how an index is held. Trees and one-hot vectors need every
+    category as metadata and get it, whatever their number.
+    """
     index = CategoryIndex()
     if spec.categories:
+        if spec.one_hot or spec.family == specs.RANDOM_FOREST:
+            max_driver_labels = None
         index = fit_index(train, spec.categories, max_driver_labels)
-        if index.tables and (spec.one_hot or spec.family == specs.RANDOM_FOREST):
-            raise ValueError(
-                f"{', '.join(index.tables)}: more than {max_driver_labels} categories; "
-                "trees and one-hot vectors need them all as metadata, raise max_driver_labels"
-            )
     stages = list(index.models)
     inputs = spec.features
     if spec.one_hot and spec.categories:
@@ -95,9 +104,10 @@ def fit_features(
 def _estimator(spec: ModelSpec, features: FittedModel, width: int | None = None):
     params = dict(spec.params)
     if spec.family == specs.RANDOM_FOREST:
-        # Every category, and the one for unseen values, needs a bin of its own. Split finding
-        # samples the square of the bins, so more than MAX_AUTO_BINS must be asked for.
-        needed = min(_categories(features) + 1, MAX_AUTO_BINS)
+        # Every category, and the one for unseen values, needs a bin of its own.
+        needed = _categories(features) + 1
+        if spec.max_bins is not None and needed > spec.max_bins:
+            raise ValueError(f"{needed} categories with the unseen one; max_bins is {spec.max_bins}")
         params["maxBins"] = max(params.get("maxBins", 32), needed)
     if spec.family == specs.PERCEPTRON and width is not None:
         params["layers"] = [width, *params["layers"][1:]]
@@ -118,9 +128,12 @@ def _vectors(spec: ModelSpec, features: FittedModel, rows: DataFrame) -> DataFra
 
 
 def fit(
-    spec: ModelSpec, train: DataFrame, max_driver_labels: int = MAX_DRIVER_LABELS
+    spec: ModelSpec,
+    train: DataFrame,
+    max_driver_labels: int | None = MAX_DRIVER_LABELS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> FittedModel:
-    rows = training_rows(spec, train)
+    rows = laid_out(spec, train, rows_per_task)
     features = fit_features(spec, rows, max_driver_labels)
     vectors = _vectors(spec, features, rows)
     width = None
@@ -138,15 +151,20 @@ class SeedRun:
 
 
 def fit_kmeans_seeds(
-    spec: ModelSpec, train: DataFrame, seeds: Sequence[int], keep: str = "best"
+    spec: ModelSpec,
+    train: DataFrame,
+    seeds: Sequence[int],
+    keep: str = "best",
+    max_driver_labels: int | None = MAX_DRIVER_LABELS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> tuple[FittedModel, list[SeedRun]]:
     """One k-means per seed; keep the best silhouette, or the last as a plain loop would.
 
     The vectors are read by every fit and every silhouette, so they are kept in
     memory and on disk for the time of the loop.
     """
-    rows = training_rows(spec, train)
-    features = fit_features(spec, rows)
+    rows = laid_out(spec, train, rows_per_task)
+    features = fit_features(spec, rows, max_driver_labels)
     vectors = _vectors(spec, features, rows).persist()
     kept, runs = None, []
     try:

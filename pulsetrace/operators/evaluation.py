@@ -27,12 +27,17 @@ def confusion(df: DataFrame) -> DataFrame:
     return label_and_prediction(df).groupBy("label", "prediction").count()
 
 
-def confusion_wide(df: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """Confusion matrix with one column per predicted class."""
-    cells = [
-        F.count_if(F.col("prediction") == float(c)).alias(f"predicted_{c}") for c in classes
-    ]
-    return label_and_prediction(df).groupBy("label").agg(*cells)
+def confusion_wide(cells: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
+    """``confusion`` with one column per predicted class and one for every other prediction.
+
+    The columns of a row add up to the rows of its label.
+    """
+    def counted(hit):
+        return F.coalesce(F.sum(F.when(hit, F.col("count"))), F.lit(0))
+
+    known = F.coalesce(F.col("prediction").isin(*map(float, classes)), F.lit(False))
+    wide = [counted(F.col("prediction") == float(c)).alias(f"predicted_{c}") for c in classes]
+    return cells.groupBy("label").agg(*wide, counted(~known).alias("predicted_other"))
 
 
 def named_confusion(cells: DataFrame, names: Mapping[int, str] = CLASS_NAMES) -> DataFrame:

@@ -12,13 +12,18 @@ from ..sources.typed import accept_rows
 
 @dataclass
 class Report:
-    """Lazy results of one scored test set."""
+    """Results of one scored test set; everything but the slices comes from ``cells``.
+
+    ``cells`` is the one grouped count over the scored rows. Where it has been written, pass it
+    in; otherwise it is counted again for each result that is asked for.
+    """
 
     scored: DataFrame
+    counted: DataFrame | None = None
 
     @property
     def cells(self) -> DataFrame:
-        return evaluation.confusion(self.scored)
+        return evaluation.confusion(self.scored) if self.counted is None else self.counted
 
     @property
     def named_cells(self) -> DataFrame:

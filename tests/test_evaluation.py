@@ -68,7 +68,10 @@ def test_no_rows_give_null_metrics(spark):
 
 def test_confusion_forms_and_error_slices(spark):
     df = scored(spark, [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 0)] * 3 + [(1, 1)])
-    wide = {r.label: (r.predicted_0, r.predicted_1) for r in E.confusion_wide(df).collect()}
+    cells = E.confusion(df)
+    wide = {r.label: (r.predicted_0, r.predicted_1) for r in E.confusion_wide(cells).collect()}
+    one = {r.label: (r.predicted_0, r.predicted_other) for r in E.confusion_wide(cells, [0]).collect()}
+    assert one == {0: (5, 2), 1: (3, 1)}
     assert wide == {0: (5, 2), 1: (3, 1)}
     named = {(r[0], r[1]): r[2] for r in E.named_confusion(E.confusion(df)).collect()}
     good, bad = CLASS_NAMES[0], CLASS_NAMES[1]

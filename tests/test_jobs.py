@@ -4,6 +4,8 @@ import pytest
 
 from pulsetrace import jobs
 from pulsetrace.fixed_values import CONN_INDICATORS, GROUP_INDICATORS
+from pulsetrace.models import store
+from pulsetrace.operators import evaluation
 from pulsetrace.plans import datasets
 from pulsetrace.schemas import CONN, GROUP
 from pulsetrace.sources.logs import read_conn_logs
@@ -55,6 +57,34 @@ def test_conn_jobs(spark, conn_folders, fmt):
     assert spark.read.parquet(f"{out}/report/confusion").count() == 4
 
 
+def test_evaluation_reads_the_scored_rows_once_for_all_counts(spark, conn_folders, monkeypatch):
+    train, test, out = conn_folders
+    out = f"{out}-scans"
+    jobs.build(spark, "conn", train, test, out)
+    saved = jobs.fit_job(spark, "conn_naive_bayes", f"{out}/train", f"{out}/models")
+    counted = []
+    count = evaluation.confusion
+    monkeypatch.setattr(evaluation, "confusion", lambda df: counted.append(df) or count(df))
+    report = jobs.evaluate_job(spark, saved, f"{out}/test", f"{out}/report")
+    for result in (report.cells, report.named_cells, report.metrics):
+        assert "/report/scored" not in result._jdf.queryExecution().executedPlan().toString()
+    assert len(counted) == 1
+    assert spark.read.parquet(f"{out}/report/cells").count() == report.cells.count() == 4
+
+
+def test_fit_parameters_reach_the_estimator(spark, conn_folders):
+    train, test, out = conn_folders
+    out = f"{out}-params"
+    jobs.build(spark, "conn", train, test, out)
+    jobs.main(["fit", "conn_random_forest", "--data", f"{out}/train", "--models", f"{out}/models",
+               "--param", "numTrees=2", "--param", "maxDepth=3", "--max-driver-labels", "1",
+               "--rows-per-task", "10"])
+    model = store.load(spark, f"{out}/models/conn_random_forest")
+    assert model.estimator.getNumTrees == 2 and model.spec.params["maxDepth"] == 3
+    with pytest.raises(ValueError, match="max_bins"):
+        jobs.fit_job(spark, "conn_random_forest", f"{out}/train", f"{out}/models", max_bins=1)
+
+
 def test_each_model_drops_only_its_own_unusable_rows(spark, conn_folders):
     train, test, out = conn_folders
     jobs.build(spark, "conn", train, test, f"{out}-rows")

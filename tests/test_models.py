@@ -6,12 +6,13 @@ import pytest
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
+from pulsetrace.catalog.fit_checks import linear_check, perceptron_check
 from pulsetrace.models import store, training
 from pulsetrace.models.specs import SPECS
 from pulsetrace.models.training import fit, fit_features, fit_kmeans_seeds
 from pulsetrace.plans.runs import Report, evaluate, run
 from pulsetrace.schemas import CONN, GROUP
-from pulsetrace.sources.layout import spread, stable_layout
+from pulsetrace.sources.layout import stable_layout
 from pulsetrace.sources.scratch import new_scratch
 
 # Few passes are enough on separable rows.
@@ -139,9 +140,47 @@ def test_saved_index_tables_predict_the_same(spark):
         assert other.score(df).select(*key).exceptAll(want).count() == 0
 
 
-def test_trees_need_every_category_as_metadata(spark):
-    with pytest.raises(ValueError, match="max_driver_labels"):
-        fit(SPECS["conn_random_forest"], connections(spark), max_driver_labels=3)
+def test_a_loaded_model_can_be_saved_where_it_came_from(spark):
+    df = connections(spark)
+    root = new_scratch(spark, "models")
+    path = store.save(fit(SPECS["conn_naive_bayes"], df, max_driver_labels=3), root)
+    key = ["orig_h", "orig_p", "history_index", "prediction"]
+    want = store.load(spark, path).score(df).select(*key)
+    assert store.save(store.load(spark, path), root) == path
+    again = store.load(spark, path)
+    assert set(again.tables) == {"history"}
+    assert again.score(df).select(*key).exceptAll(want).isEmpty()
+
+
+def test_a_failed_save_leaves_the_model_readable(spark, monkeypatch):
+    df = connections(spark)
+    root = new_scratch(spark, "models")
+    model = fit(SPECS["conn_naive_bayes"], df, max_driver_labels=3)
+    path = store.save(model, root)
+    lost = replace(SPECS["conn_naive_bayes"], params={"modelType": object()})
+    broken = training.FittedModel(lost, model.pipeline, model.tables)
+    with pytest.raises(TypeError):
+        store.save(broken, root)
+    assert store.load(spark, path).spec == model.spec
+    assert store.load(spark, path).score(df).count() == df.count()
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, f"{root}/none")
+
+
+def test_trees_get_every_category_as_metadata_whatever_the_label_limit(spark):
+    model = fit(SPECS["conn_random_forest"].with_params(numTrees=2), connections(spark), max_driver_labels=3)
+    assert not model.tables
+    hot = replace(SPECS["conn_naive_bayes"], one_hot=True)
+    assert not fit_features(hot, connections(spark), max_driver_labels=1).tables
+
+
+def test_a_forest_over_more_than_5000_categories(spark):
+    many = F.monotonically_increasing_id() % 6000
+    wide = connections(spark, 9000).repartition(1).withColumn("history", many.cast("string"))
+    spec = SPECS["conn_random_forest"].with_params(maxBins=32, numTrees=1, maxDepth=2)
+    assert fit(spec, wide).estimator.getOrDefault("maxBins") == 6001
+    with pytest.raises(ValueError, match="max_bins"):
+        fit(replace(spec, max_bins=5000), wide)
 
 
 def test_forest_gets_a_bin_per_category(spark):
@@ -213,19 +252,44 @@ def test_fit_holds_no_cache(spark):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
-def test_layout(spark):
-    small = spark.range(0, 10, 1, 1)
-    assert spread(small).count() == 10
-    big = spark.range(0, 10, 1, 64)
-    assert spread(big) is big
-    df = connections(spark)
+def test_layout_depends_on_the_rows_alone(spark):
+    df = connections(spark).union(connections(spark, 30)).union(connections(spark, 30))
     laid = [
-        stable_layout(df.repartition(n), CONN.names, 4)
-        .select(F.spark_partition_id().alias("p"), "orig_h", "orig_p")
+        stable_layout(df.repartition(n), 100)
+        .select(F.spark_partition_id().alias("p"), "*")
         .collect()
         for n in (1, 7)
     ]
     assert laid[0] == laid[1]
+    assert len({r["p"] for r in laid[0]}) == 5
+    assert sorted(map(str, (tuple(r)[1:] for r in laid[0]))) == sorted(map(str, map(tuple, df.collect())))
+
+
+def test_copies_of_a_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("pulsetrace.sources.layout._COPIES_PER_ROW", 7)
+    df = spark.range(1000).select(F.lit(1).alias("a"), F.lit(None).cast("double").alias("b"))
+    sizes = stable_layout(df, 100).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and len(sizes) == 10
+    assert max(r["count"] for r in sizes) < 200
+    assert stable_layout(df.limit(0)).count() == 0
+
+
+def test_forests_do_not_depend_on_the_layout_of_their_rows(spark):
+    spec = SPECS["group_random_forest"].with_params(numTrees=3)
+    trees = [fit(spec, groups(spark).repartition(n)).estimator.toDebugString.split("\n", 1)[1] for n in (1, 9)]
+    assert trees[0] == trees[1]
+
+
+def test_fit_checks_fail_models_that_learnt_nothing(spark):
+    df = connections(spark)
+    for name, check in (("conn_linear_svm", linear_check), ("conn_perceptron", perceptron_check)):
+        good = check(fit(SPECS[name].with_params(**QUICK[name]), df), df, df).first()
+        raw = check(fit(SPECS[name].with_params(maxIter=0 if "svm" in name else 1), df), df, df).first()
+        assert good["rows"] == df.count() and good["mismatches"] == raw["mismatches"] == 0
+        if "svm" in name:
+            assert raw["improvable"]
+        else:
+            assert good["beats_prior"] and not raw["beats_prior"]
 
 
 def test_report_slices(spark):
@@ -245,15 +309,6 @@ def test_kmeans_ends_at_a_fixed_point(spark):
         assert [row[c] for c in columns] == pytest.approx(list(centre), abs=1e-9)
 
 
-def test_forest_bins_are_not_raised_without_limit(spark, monkeypatch):
-    monkeypatch.setattr(training, "MAX_AUTO_BINS", 40)
-    wide = connections(spark).withColumn("history", F.concat("history", "orig_h"))
-    spec = SPECS["conn_random_forest"].with_params(maxBins=32, numTrees=2, maxDepth=2)
-    with pytest.raises(Exception, match="maxBins"):
-        fit(spec, wide)
-    assert fit(spec.with_params(maxBins=2000), wide).estimator.getOrDefault("maxBins") == 2000
-
-
 def test_unaligned_clusters_keep_their_ids(spark):
     model = fit(SPECS["group_kmeans"], groups(spark))
     assert isinstance(model.estimator, KMeansModel)
