@@ -32,15 +32,14 @@ rule_scored AS (
 
 
 def vector_scored(spark, sf_dir):
-    """Vectors with ten labels, predicted as the position of the largest of ten components."""
-    ten = F.slice("embedding", 1, 10)
-    best = F.array_position(ten, F.array_max(ten)) - 1
+    """Vectors with ten labels, predicted by the position of their largest component."""
+    best = (F.array_position("embedding", F.array_max("embedding")) - 1) % 10
     return S.vectors(spark, sf_dir).withColumn("prediction", best.cast("int"))
 
 
 VECTOR = """WITH
 vector_scored AS (
-  SELECT *, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS prediction
+  SELECT *, (list_position(embedding, list_max(embedding)) - 1) % 10 AS prediction
   FROM embeddings)"""
 
 ROUNDED_METRICS_SQL = "SELECT " + ", ".join(
@@ -54,9 +53,18 @@ def confusion_matrix(spark, sf_dir):
 
 
 @query(RULE + """SELECT label, count(*) FILTER (prediction = 0) AS predicted_0,
-  count(*) FILTER (prediction = 1) AS predicted_1 FROM rule_scored GROUP BY label""")
+  count(*) FILTER (prediction = 1) AS predicted_1, CAST(0 AS BIGINT) AS predicted_other
+FROM rule_scored GROUP BY label""")
 def confusion_pivot(spark, sf_dir):
-    return E.confusion_wide(rule_scored(spark, sf_dir))
+    return E.confusion_wide(E.confusion(rule_scored(spark, sf_dir)))
+
+
+@query(VECTOR + "SELECT label, " + ", ".join(
+    f"count(*) FILTER (prediction = {c}) AS predicted_{c}" for c in range(6)
+) + """, count(*) FILTER (prediction > 5) AS predicted_other FROM vector_scored GROUP BY label""")
+def confusion_pivot_ten_classes(spark, sf_dir):
+    """Six named columns; the predictions of the other four classes stay in one more."""
+    return E.confusion_wide(E.confusion(vector_scored(spark, sf_dir)), range(6))
 
 
 def _named(column):

@@ -6,14 +6,15 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..models import store
 from ..models.specs import NAIVE_BAYES, SPECS, ModelSpec
 from ..models.training import fit, fit_kmeans_seeds
+from ..operators import evaluation
 from ..operators.labeling import label_by_indicator
-from ..operators.rows import drop_null_rows
 from ..plans import datasets
 from ..plans.runs import evaluate, run
 from ..sources.scratch import new_scratch
 from . import standins as S
 from .evaluation_queries import PLACES, ROUNDED_METRICS_SQL
 from .feature_queries import CATEGORIES, index_ctes
+from .fit_checks import linear_check, perceptron_check
 from .registry import query
 from .scan_queries import rounded
 from .sql import (
@@ -64,7 +65,7 @@ def documents_naive_bayes_metrics(spark, sf_dir):
 
 def conn_splits(spark, sf_dir):
     """Training and test connections: earlier captures by origin, later ones by destination."""
-    conns = S.connections(spark, sf_dir, even=True)
+    conns = S.connections(spark, sf_dir)
     train = datasets.conn_train(conns.where(F.col("seen") < S.CUTOVER))
     test = datasets.conn_test(
         conns.where(F.col("seen") >= S.CUTOVER), S.indicators(spark, sf_dir)
@@ -89,6 +90,10 @@ CONN_NB = (
 GROUP_SPLITS = with_ctes(S.GROUPS_SQL) + f""",
 group_train AS (SELECT * FROM group_labelled WHERE src_p <= 15 AND {S.GROUP_PRESENT}),
 group_test AS (SELECT * FROM group_labelled WHERE src_p > 15 AND {S.GROUP_PRESENT}),"""
+# k-means keeps test rows with nulls: none of its three features is among the nullable columns.
+GROUP_WHOLE_TEST = with_ctes(S.GROUPS_SQL) + f""",
+group_train AS (SELECT * FROM group_labelled WHERE src_p <= 15 AND {S.GROUP_PRESENT}),
+group_test AS (SELECT * FROM group_labelled WHERE src_p > 15),"""
 GROUP_NB = (
     GROUP_SPLITS
     + multinomial_nb_ctes("group_train", "group_test", SPECS["group_naive_bayes"].features)
@@ -127,29 +132,59 @@ def group_naive_bayes(spark, sf_dir):
     return report.scored.select("src_ip", "src_p", "dst_ip", "nses", "label", "prediction")
 
 
-def _conn_cells(name, spark, sf_dir, align=False):
-    return run(SPECS[name], *conn_splits(spark, sf_dir), align=align)[1].cells
-
-
-def _group_cells(name, spark, sf_dir):
-    return run(SPECS[name], *group_splits(spark, sf_dir))[1].cells
+# Enough rounds to end at the fixed point that the SQL moves to.
+CONN_KMEANS = SPECS["conn_kmeans"].with_params(maxIter=100, tol=1e-9)
+CONN_TESTED = with_ctes(
+    S.CONNECTIONS_SQL, S.INDICATORS_SQL, S.CONN_LABELLED_SQL, S.CONN_TRAIN_SQL, S.CONN_TEST_SQL
+)
+CONN_CLUSTERS = (
+    CONN_TESTED
+    + "," + index_ctes("conn_train", out="train_x")
+    + "," + indexed_cte("test_x", "conn_test", {c: f"ix_{c}" for c in CATEGORIES})
+    + "," + two_means_ctes("train_x", "test_x", SPECS["conn_kmeans"].features)
+)
+ALIGNED_SQL = """,
+votes AS (
+  SELECT c, label, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, label) AS place
+  FROM train_clustered GROUP BY c, label)
+SELECT t.label, CAST(v.label AS DOUBLE) AS prediction, count(*) AS "count"
+FROM test_clustered t JOIN votes v ON t.c = v.c AND v.place = 1 GROUP BY ALL"""
 
 
-@query()
+@query(CONN_CLUSTERS + """
+SELECT label, CAST(c AS DOUBLE) AS prediction, count(*) AS "count" FROM test_clustered GROUP BY ALL""")
 def conn_kmeans(spark, sf_dir):
-    """Cluster ids compared with the labels as they are."""
-    return _conn_cells("conn_kmeans", spark, sf_dir)
+    """Clusters compared with the labels as they are, numbered by their centres' place."""
+    model, report = run(CONN_KMEANS, *conn_splits(spark, sf_dir))
+    centres = [sum(c) for c in model.estimator.clusterCenters()]
+    place = F.array(*[F.lit(float(sum(x < c for x in centres))) for c in centres])
+    return evaluation.confusion(
+        report.scored.withColumn("prediction", F.get(place, F.col("prediction").cast("int")))
+    )
 
 
-@query()
+@query(CONN_CLUSTERS + ALIGNED_SQL)
 def conn_kmeans_aligned(spark, sf_dir):
     """Cluster ids renamed to the majority class of their training rows."""
-    return _conn_cells("conn_kmeans", spark, sf_dir, align=True)
+    return run(CONN_KMEANS, *conn_splits(spark, sf_dir), align=True)[1].cells
 
 
-@query()
+def _svm_sql(test):
+    return f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, false AS improvable FROM {test}"
+
+
+def _perceptron_sql(test):
+    return f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, true AS beats_prior FROM {test}"
+
+
+def _checked(check, name, splits):
+    train, test = splits
+    return check(fit(SPECS[name], train), train, test)
+
+
+@query(CONN_TESTED + _svm_sql("conn_test"))
 def conn_linear_svm(spark, sf_dir):
-    return _conn_cells("conn_linear_svm", spark, sf_dir)
+    return _checked(linear_check, "conn_linear_svm", conn_splits(spark, sf_dir))
 
 
 # The training label is a function of orig_pkts; a forest that has learnt it repeats it.
@@ -157,35 +192,30 @@ def conn_linear_svm(spark, sf_dir):
 SELECT label, CASE WHEN orig_pkts >= 36 THEN 1e0 ELSE 0e0 END AS prediction, count(*) AS "count"
 FROM conn_test GROUP BY ALL""")
 def conn_random_forest(spark, sf_dir):
-    return _conn_cells("conn_random_forest", spark, sf_dir)
+    return run(SPECS["conn_random_forest"], *conn_splits(spark, sf_dir))[1].cells
 
 
-@query()
+@query(CONN_TESTED + _perceptron_sql("conn_test"))
 def conn_perceptron(spark, sf_dir):
-    return _conn_cells("conn_perceptron", spark, sf_dir)
+    return _checked(perceptron_check, "conn_perceptron", conn_splits(spark, sf_dir))
 
 
-SEEDS = tuple(range(1, 11))
-
-
-@query()
-def group_kmeans_seeds(spark, sf_dir):
-    """Ten seeds, their silhouettes, and the one kept."""
-    train, _ = group_splits(spark, sf_dir)
-    _, runs = fit_kmeans_seeds(SPECS["group_kmeans"], train, SEEDS)
-    return spark.createDataFrame(
-        [(r.seed, r.silhouette, r.kept) for r in runs],
-        "seed long, silhouette double, kept boolean",
-    )
+@query(CONN_NB + f"SELECT {', '.join(CONN_KEY)} FROM nb_scored WHERE label = 0 AND prediction = 1")
+def conn_naive_bayes_alarms(spark, sf_dir):
+    _, report = run(SPECS["conn_naive_bayes"], *conn_splits(spark, sf_dir))
+    return report.alarms.select(*CONN_KEY)
 
 
+SEEDS = tuple(range(1, 11))
+# Like CONN_KMEANS: all seeds end at one fixed point.
+GROUP_KMEANS = SPECS["group_kmeans"].with_params(maxIter=100, tol=1e-9)
 GROUP_FEATURES = SPECS["group_kmeans"].features
-GROUP_CLUSTERS = GROUP_SPLITS + two_means_ctes("group_train", "group_test", GROUP_FEATURES)
+GROUP_CLUSTERS = GROUP_WHOLE_TEST + two_means_ctes("group_train", "group_test", GROUP_FEATURES)
 
 
 def _best_group_kmeans(spark, sf_dir):
     train, test = group_splits(spark, sf_dir)
-    model, runs = fit_kmeans_seeds(SPECS["group_kmeans"], train, SEEDS)
+    model, runs = fit_kmeans_seeds(GROUP_KMEANS, train, SEEDS)
     return model, runs, train, test
 
 
@@ -199,12 +229,29 @@ def group_kmeans_centres(spark, sf_dir):
     return rounded(spark.createDataFrame(centres, schema), GROUP_FEATURES)
 
 
-@query(GROUP_CLUSTERS + """,
+GROUP_SILHOUETTE = GROUP_CLUSTERS + """,
 numbered AS (SELECT *, row_number() OVER () AS id FROM train_clustered),
 points AS (
   SELECT id, c AS cluster, unnest(range(1, 4)) AS dim,
-    unnest([CAST(nses AS DOUBLE), cltmoredata, clt1stappdata]) AS x FROM numbered),"""
-       + silhouette_ctes("points") + "SELECT round(silhouette, 6) AS silhouette FROM silhouette")
+    unnest([CAST(nses AS DOUBLE), cltmoredata, clt1stappdata]) AS x FROM numbered),""" + (
+    silhouette_ctes("points")
+)
+
+
+@query(GROUP_SILHOUETTE + """
+SELECT CAST(seed AS BIGINT) AS seed, round(silhouette, 6) AS silhouette, round(silhouette, 6) AS kept
+FROM silhouette, unnest(range(1, 11)) s(seed)""")
+def group_kmeans_seeds(spark, sf_dir):
+    """Ten seeds, their silhouettes, and that of the one kept."""
+    runs = _best_group_kmeans(spark, sf_dir)[1]
+    (kept,) = [r.silhouette for r in runs if r.kept]
+    rows = [(r.seed, r.silhouette, kept) for r in runs]
+    return rounded(
+        spark.createDataFrame(rows, "seed long, silhouette double, kept double"), ["silhouette", "kept"]
+    )
+
+
+@query(GROUP_SILHOUETTE + "SELECT round(silhouette, 6) AS silhouette FROM silhouette")
 def group_kmeans_silhouette(spark, sf_dir):
     """Silhouette of the best of ten seeds."""
     runs = _best_group_kmeans(spark, sf_dir)[1]
@@ -212,28 +259,46 @@ def group_kmeans_silhouette(spark, sf_dir):
     return rounded(spark.createDataFrame(best, "silhouette double"), ["silhouette"])
 
 
-@query(GROUP_CLUSTERS + """,
-votes AS (
-  SELECT c, label, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, label) AS place
-  FROM train_clustered GROUP BY c, label)
-SELECT t.label, CAST(v.label AS DOUBLE) AS prediction, count(*) AS "count"
-FROM test_clustered t JOIN votes v ON t.c = v.c AND v.place = 1 GROUP BY ALL""")
+@query(GROUP_CLUSTERS + ALIGNED_SQL)
 def group_kmeans(spark, sf_dir):
     """The best of ten seeds, aligned to classes and scored on the second half of the month."""
     model, _, train, test = _best_group_kmeans(spark, sf_dir)
-    return evaluate(model, drop_null_rows(test), train).cells
+    return evaluate(model, test, train).cells
 
 
-@query()
+@query(GROUP_SPLITS.rstrip(",") + _svm_sql("group_test"))
 def group_linear_svm(spark, sf_dir):
-    return _group_cells("group_linear_svm", spark, sf_dir)
+    return _checked(linear_check, "group_linear_svm", group_splits(spark, sf_dir))
+
+
+# A label that is a rule over the forest's features: one that has learnt it repeats it.
+BUSY = 3
 
 
-@query()
+@query(GROUP_SPLITS.rstrip(",") + f"""
+SELECT CAST(nses >= {BUSY} AS INTEGER) AS label, CAST(nses >= {BUSY} AS DOUBLE) AS prediction,
+  count(*) AS "count" FROM group_test GROUP BY ALL""")
 def group_random_forest(spark, sf_dir):
-    return _group_cells("group_random_forest", spark, sf_dir)
+    busy = (F.col("nses") >= BUSY).cast("int")
+    train, test = (df.withColumn("label", busy) for df in group_splits(spark, sf_dir))
+    return run(SPECS["group_random_forest"], train, test)[1].cells
 
 
-@query()
+@query(GROUP_SPLITS.rstrip(",") + _perceptron_sql("group_test"))
 def group_perceptron(spark, sf_dir):
-    return _group_cells("group_perceptron", spark, sf_dir)
+    return _checked(perceptron_check, "group_perceptron", group_splits(spark, sf_dir))
+
+
+GROUP_NB_KEY = "src_ip, src_p, dst_ip, nses, label, prediction"
+
+
+@query(GROUP_NB + f"SELECT {GROUP_NB_KEY} FROM nb_scored WHERE label = 1 AND prediction = 0")
+def group_naive_bayes_missed(spark, sf_dir):
+    _, report = run(SPECS["group_naive_bayes"], *group_splits(spark, sf_dir))
+    return report.missed.select(*GROUP_NB_KEY.split(", "))
+
+
+@query(GROUP_NB + f"SELECT {GROUP_NB_KEY} FROM nb_scored WHERE label = 0 AND prediction = 1")
+def group_naive_bayes_alarms(spark, sf_dir):
+    _, report = run(SPECS["group_naive_bayes"], *group_splits(spark, sf_dir))
+    return report.alarms.select(*GROUP_NB_KEY.split(", "))

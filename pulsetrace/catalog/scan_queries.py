@@ -1,7 +1,7 @@
 """Scans, sinks, typed rows and the quarantine.
 
 The log text these queries read is written by Spark from the whole tables, once
-per session and data folder, with unset, empty, over-long and short lines in it.
+per session and data folder, with unset, empty and over-long fields and short and wide lines in it.
 """
 
 from functools import cache
@@ -31,12 +31,13 @@ from .sql import with_ctes
 
 NB_REQUIRED = [c for c in SPECS["conn_naive_bayes"].required if c != "label"]
 
-# Which lines get an unset, an empty, an over-long and a missing field; the text is read both
+# Which lines get an unset, an empty, an over-long, a missing and an additional field; the text is read both
 # by Spark and by the check.
 UNSET_BYTES = "resp_bytes = 0"
 EMPTY_DURATION = "duration = 0"
 LONG_TRANSFER = "orig_pkts = 50"
 SHORT_LINE = "(orig_pkts = 1 AND resp_pkts = 7)"
+WIDE_LINE = "(orig_pkts = 2 AND resp_pkts = 7)"
 EXTRA_BYTES = 90_000_000_000
 
 
@@ -62,16 +63,19 @@ def conn_text_fields(conns: DataFrame) -> DataFrame:
             for c in CONN_LOG_COLUMNS
         ],
         F.expr(SHORT_LINE).alias("short"),
+        F.expr(WIDE_LINE).alias("wide"),
     )
 
 
 @cache
 def _conn_log_folder(app: str, spark: SparkSession, sf_dir: str) -> str:
     path = new_scratch(spark, "conn-log")
-    fields = conn_text_fields(S.connections(spark, sf_dir, even=True))
+    fields = conn_text_fields(S.connections(spark, sf_dir))
     whole = F.concat_ws("\t", *CONN_LOG_COLUMNS)
     lines = fields.select(
-        F.when(F.col("short"), F.concat_ws("\t", *CONN_LOG_COLUMNS[:-1])).otherwise(whole)
+        F.when(F.col("short"), F.concat_ws("\t", *CONN_LOG_COLUMNS[:-1]))
+        .when(F.col("wide"), F.concat(whole, F.lit("\tmore")))
+        .otherwise(whole)
         .alias("value")
     )
     comments = S.table(spark, sf_dir, "orders").select(
@@ -109,12 +113,12 @@ conn_lines AS (
     CASE WHEN {EMPTY_DURATION} THEN NULL ELSE duration END AS duration,
     CASE WHEN {UNSET_BYTES} THEN NULL
       WHEN {LONG_TRANSFER} THEN orig_bytes + {EXTRA_BYTES} ELSE orig_bytes END AS orig_bytes),
-    {UNSET_BYTES} AS unset_bytes, {SHORT_LINE} AS short_line
+    {UNSET_BYTES} AS unset_bytes, {WIDE_LINE} AS wide_line
   FROM conn_v)"""
 
 
 @query(with_ctes(CONN_LINES_SQL) + f"""
-SELECT {S.CONN_ROW} FROM conn_lines WHERE NOT unset_bytes AND NOT short_line""")
+SELECT {S.CONN_ROW} FROM conn_lines WHERE NOT unset_bytes AND NOT wide_line""")
 def conn_scan_typed(spark, sf_dir):
     """Text log to typed rows, by the columns naive Bayes needs."""
     kept = drop_columns(conn_logs(spark, sf_dir), CONN_DROPPED_COLUMNS)
@@ -124,11 +128,11 @@ def conn_scan_typed(spark, sf_dir):
 @query(with_ctes(CONN_LINES_SQL) + """
 SELECT orig_h, orig_p, resp_h, history,
   concat_ws(',', CASE WHEN unset_bytes THEN 'orig_bytes' END,
-    CASE WHEN short_line THEN 'corrupt_line' END) AS bad_columns,
+    CASE WHEN wide_line THEN 'corrupt_line' END) AS bad_columns,
   CASE WHEN unset_bytes THEN '-' WHEN orig_pkts = 50 THEN CAST(orig_bytes AS VARCHAR)
     ELSE CAST(orig_bytes AS VARCHAR) END AS orig_bytes
 FROM (SELECT * REPLACE (CAST(orig_p AS VARCHAR) AS orig_p) FROM conn_lines)
-WHERE unset_bytes OR short_line""")
+WHERE unset_bytes OR wide_line""")
 def conn_scan_rejected(spark, sf_dir):
     """The quarantine of the same scan: text and the names of the bad columns."""
     bad = reject_rows(conn_logs(spark, sf_dir), without_label(CONN), NB_REQUIRED)
@@ -136,9 +140,9 @@ def conn_scan_rejected(spark, sf_dir):
 
 
 @query(with_ctes(CONN_LINES_SQL) + """
-SELECT orig_h, orig_p, resp_h, history, orig_bytes, short_line AS wrong_width,
+SELECT orig_h, orig_p, resp_h, history, orig_bytes, wide_line AS wrong_width,
   CASE WHEN unset_bytes THEN '-' END AS orig_bytes_text
-FROM conn_lines WHERE unset_bytes OR short_line""")
+FROM conn_lines WHERE unset_bytes OR wide_line""")
 def conn_quarantine_landed(spark, sf_dir):
     """Typed once and written, then the rows a model cannot use, with the text they held."""
     schema = without_label(CONN)

@@ -8,8 +8,6 @@ frame is built from all rows of its tables.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.layout import spread
-
 CUTOVER = "2000-01-01"  # captures before this day train, later ones test
 
 
@@ -17,15 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connections(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
-    """Line items as connections; ``even`` spreads a small input over all task slots."""
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as connections.
+
+    Transfers of many packets go to listed destinations (suppliers in fives) and others do not,
+    but for one line in seven, which goes where it goes: the test label depends on the features
+    that the training label depends on, and not on them alone.
+    """
     items = table(spark, sf_dir, "lineitem")
-    items = spread(items) if even else items
+    supplier = F.col("l_suppkey")
+    destination = (
+        F.when(F.col("l_linenumber") == 7, supplier)
+        .when(F.col("l_quantity") >= 36, F.greatest(supplier - supplier % 5, F.lit(5)))
+        .when(supplier % 5 == 0, supplier - 1)
+        .otherwise(supplier)
+    )
     quantity = F.col("l_quantity").cast("int")
     base = items.select(
         F.col("l_orderkey").cast("string").alias("orig_h"),
         F.col("l_linenumber").alias("orig_p"),
-        F.col("l_suppkey").cast("string").alias("resp_h"),
+        destination.cast("long").cast("string").alias("resp_h"),
         F.col("l_partkey").cast("int").alias("resp_p"),
         F.when(F.col("l_linestatus") == "O", "tcp").otherwise("udp").alias("proto"),
         F.when(F.col("l_returnflag") == "A", "http")
@@ -59,7 +68,10 @@ def connections(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFra
 CONNECTIONS_SQL = """
 conn_base AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS orig_h, l_linenumber AS orig_p,
-    CAST(l_suppkey AS VARCHAR) AS resp_h, CAST(l_partkey AS INTEGER) AS resp_p,
+    CAST(CASE WHEN l_linenumber = 7 THEN l_suppkey
+      WHEN l_quantity >= 36 THEN greatest(l_suppkey - l_suppkey % 5, 5)
+      WHEN l_suppkey % 5 = 0 THEN l_suppkey - 1 ELSE l_suppkey END AS VARCHAR) AS resp_h,
+    CAST(l_partkey AS INTEGER) AS resp_p,
     CASE WHEN l_linestatus = 'O' THEN 'tcp' ELSE 'udp' END AS proto,
     CASE l_returnflag WHEN 'A' THEN 'http' WHEN 'R' THEN 'ssl' ELSE '-' END AS service,
     l_tax AS duration,
@@ -81,13 +93,13 @@ conn_v AS (
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of five nations as the list of malicious destinations."""
-    suppliers = table(spark, sf_dir, "supplier").where(F.col("s_nationkey") < 5)
+    """Every fifth supplier as the list of malicious destinations."""
+    suppliers = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 5 == 0)
     return suppliers.select(F.col("s_suppkey").cast("string").alias("ip"))
 
 
 INDICATORS_SQL = """
-ioc AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS ip FROM supplier WHERE s_nationkey < 5)"""
+ioc AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS ip FROM supplier WHERE s_suppkey % 5 = 0)"""
 
 CONN_ROW = (
     "orig_h, orig_p, resp_h, resp_p, proto, service, duration, orig_bytes, resp_bytes, "
