@@ -23,6 +23,7 @@ gives no rows; other columns are ignored.
 import base64
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ CAPACITY = 2048
 SEPARATOR = 0
 SHARD = 1024
 ISLANDS = 2
+ISLANDS_PER_TASK = 32
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 WELL_FILLED = 0.995
 SPECIAL = "<|endoftext|>"
-_KNOWN = 300_000
+_KNOWN = 500_000
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _SIMPLE = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(
@@ -57,30 +59,63 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Token ids of whole texts, each followed by the separator."""
 
+    _loaded: dict[tuple[str, str], "Encoder"] = {}
+
+    @classmethod
+    def load(cls, json_path: str, ranks_path: str) -> "Encoder":
+        """One per Python worker, whatever the number of its tasks."""
+        if (json_path, ranks_path) not in cls._loaded:
+            cls._loaded[json_path, ranks_path] = cls(json_path, ranks_path)
+        return cls._loaded[json_path, ranks_path]
+
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.reference = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
+        (self.line,) = self.fast.encode_ordinary("\n")
         self._forget()
 
+    @cached_property
+    def reference(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def _forget(self):
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.flat = np.empty(1 << 16, np.uint32)  # ids of all known words, with room to grow
+        self.used = 0
+        self.start = np.empty(1 << 14, np.int64)
+        self.size = np.empty(1 << 14, np.int64)
 
     def _learn(self, words: set[str]):
-        for word in words:
-            self.known[word] = len(self.ids)
-            self.ids.append(self.fast.encode_ordinary(word))
-        self.flat = np.fromiter((i for ids in self.ids for i in ids), np.uint32)
-        self.size = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.start = np.cumsum(self.size) - self.size
+        """Encode new words, those without white space inside in one call, each on a line of its own."""
+        lines = [w for w in words if not w.isspace()]
+        ids = self.fast.encode_to_numpy("\n".join([*lines, ""]))
+        stops = np.flatnonzero(ids == self.line)
+        self._append(lines, np.diff(stops, prepend=-1) - 1, ids[ids != self.line])
+        blanks = [w for w in words if w.isspace()]
+        encoded = [self.fast.encode_ordinary(w) for w in blanks]
+        self._append(blanks, np.array([len(e) for e in encoded], np.int64), np.array(sum(encoded, []), np.uint32))
+
+    def _append(self, words: list[str], size: np.ndarray, flat: np.ndarray):
+        """Arrays double when full, so each id is moved rarely."""
+        first, last = len(self.known), len(self.known) + len(words)
+        self.known.update(zip(words, range(first, last), strict=True))
+        while last > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.size[first:last] = size
+        self.start[first:last] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; words not met before are encoded once per call."""
@@ -90,7 +125,7 @@ class Encoder:
         if len(self.known) + len(new) > _KNOWN:
             self._forget()
             new = set().union(*words)
-        if new or not self.ids:
+        if new:
             self._learn(new)
         out = []
         for text, is_simple, parts in zip(texts, simple, words):
@@ -123,9 +158,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) ->
     paths = vocabulary_path(), vocabulary_path("byte_bpe_50k.tiktoken")
 
     def cut(batches):
-        encoder = None
+        encoder = Encoder.load(*paths)
         for batch in batch_rows(batches, 128):
-            encoder = encoder or Encoder(*paths)
             out = [[] for _ in schema]
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist())
@@ -264,7 +298,7 @@ ISLAND = "shard long, island int, groups array<array<int>>, best double"
 
 
 def evolve_islands(
-    shards: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int
+    shards: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, tasks: int
 ) -> DataFrame:
     """(shard, bins): the best grouping of each shard, as the bin number of every piece.
 
@@ -275,7 +309,7 @@ def evolve_islands(
     state = None
     for epoch in range(epochs):
         rows = start.withColumn("groups", F.lit(None).cast("array<array<int>>")) if state is None else state
-        rows = rows.repartition("shard", "island")
+        rows = rows.repartition(tasks, "shard", "island")
 
         def run(batches, epoch=epoch):
             for batch in batches:
@@ -328,7 +362,8 @@ def _grouped(items: DataFrame, capacity: int, shard: int, total: int, settings:
         ),
         "shards",
     )
-    best = evolve_islands(shards, capacity, **settings)
+    tasks = -(-count * settings["islands"] // ISLANDS_PER_TASK)
+    best = evolve_islands(shards, capacity, tasks=tasks, **settings)
     pairs = shards.join(best, "shard").select(
         "shard", F.explode(F.arrays_zip("keys", "lengths", "bins")).alias("z")
     )
