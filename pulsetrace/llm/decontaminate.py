@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them.
 
 Every item of the benchmark is cut into word n-grams. Their document frequency over the whole
-corpus is counted; the rarer part of each item's n-grams are its seeds, so every item has seeds
-however often its passage was copied. A document that holds a seed is aligned with the item
+corpus is counted; n-grams that are rare for their item (not far above its median) are its
+seeds, so every item has seeds however often its passage was copied. A document that holds a seed is aligned with the item
 (Smith-Waterman over words) around the hit, which gives a score also where words were
 changed, added or left out. The score is divided by that of a whole copy.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_rows, written
 
 GRAM = 3
-RARE_PART = 0.5
+RARE, SLACK = 4.0, 16
 SIMILARITY = 0.5
 BROADCAST_BYTES = 16 * 1024 * 1024
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -141,17 +141,18 @@ def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in kept.where(F.col("part") == part).drop("part").collect()]
 
 
-def seeds(items: Items, df: np.ndarray, rare_part: float = RARE_PART) -> np.ndarray:
-    """Which occurrences of n-grams in items are seeds: the rarer part of each item's, ties by place."""
+def seeds(items: Items, df: np.ndarray, rare: float = RARE) -> np.ndarray:
+    """Which occurrences of n-grams in items are seeds: those not far more frequent than the item's median.
+
+    Copies raise the frequency of all n-grams of an item alike, edited ones less that of the n-grams
+    they change; so the measure is the item itself, and at least half of its n-grams are seeds.
+    """
     gram = np.repeat(np.arange(len(items.grams)), items.last - items.first)
-    order = np.lexsort((items.place, df[gram], items.owner))
-    owner = items.owner[order]
-    start = np.searchsorted(owner, np.arange(len(items.ids)))
-    rank = np.arange(len(order)) - start[owner]
-    size = np.bincount(owner, minlength=len(items.ids))[owner]
-    chosen = np.zeros(len(order), bool)
-    chosen[order] = rank < np.ceil(rare_part * size)
-    return chosen
+    order = np.lexsort((df[gram], items.owner))
+    size = np.bincount(items.owner, minlength=len(items.ids))
+    middle = np.cumsum(size) - size + (size - 1) // 2
+    median = df[gram][order][middle]
+    return df[gram] <= rare * (median[items.owner] + 1) + SLACK
 
 
 PASSAGE = "doc_id long, item int, passage array<int>, grams array<int>, places array<int>"
@@ -228,7 +229,7 @@ def contaminated(
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
     gram: int = GRAM,
-    rare_part: float = RARE_PART,
+    rare: float = RARE,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, similarity) of every document that holds a copy of an item, edited or not."""
@@ -242,7 +243,7 @@ def contaminated(
             continue
         shared = docs.sparkSession.sparkContext.broadcast(items)  # at most ``broadcast_bytes`` of text
         passages = written(_passages(source, shared), "passages")
-        chosen = seeds(items, _document_frequency(passages, len(items.grams)), rare_part)
+        chosen = seeds(items, _document_frequency(passages, len(items.grams)), rare)
         part = written(_aligned(passages, shared, chosen, similarity), "matches")
         found = part if found is None else found.union(part)
     if found is None:
