@@ -111,7 +111,8 @@ _BRACKETED = re.compile(
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|klammeraffe)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*", re.I)
 _SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?P<at>\s+at\s+|\s*@\s*)"
+    r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)"
+    r"(?!(?:the|a|an|this|that|my|our|your|his|her|its|their)\b)"  # "looked at the dot com boom"
     rf"(?:[A-Za-z0-9-]+(?:\s+dot\s+|\.))+(?:{TOP_LEVEL})\b", re.I,
 )
 _SPOKEN_PART = re.compile(r"\s+dot\s+|\s+at\s+|\s*@\s*", re.I)
