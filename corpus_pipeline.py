@@ -4,11 +4,11 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 """
 
 from pulsetrace.llm import decontaminate, language, packing, pii, simhash
-from pulsetrace.llm.common import held_out, table, written
+from pulsetrace.llm.common import held_out, new_name, numbered, table, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A document in no learned language, or in none with a share above this, is not kept.
+# A document without a letter, or whose likeliest language scores less than this, is not kept.
 LEAST_LANGUAGE_SCORE = 0.05
 
 # Language models and alignments have no SQL form; tests compare with brute force.
@@ -17,25 +17,33 @@ ORACLE_SQL = None
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the others go."""
-    found = language.identify(docs, held_out(3, 1))
-    rejected = found.where(
-        (F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)
-    ).select("doc_id")
-    return docs.join(written(rejected.distinct(), "rejected"), "doc_id", "left_anti").select(docs.columns)
+    model = language.learn(docs.where(~held_out(3, 1)))
+    return language.keep_identified(docs, model, LEAST_LANGUAGE_SCORE)
+
+
+def _without(docs: DataFrame, drop) -> DataFrame:
+    """``docs`` without the rows whose numbers ``drop`` finds; it is given (doc_id, text) with
+    those numbers as ids, so repeated and null ids do not hide or remove other rows."""
+    number = new_name(docs, "doc")
+    rows = numbered(docs, number)
+    found = drop(rows.select(F.col(number).alias("doc_id"), "text"))
+    gone = written(found.select(F.col("doc_id").alias(number)).distinct(), "dropped")
+    return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    copies = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(written(copies.distinct(), "copies"), "doc_id", "left_anti").select(docs.columns)
+
+    def copies(rows):
+        return simhash.near_duplicates(rows, shingle=3, max_bits=3).where("component_id <> doc_id")
+
+    return _without(docs, copies)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item, edited ones included."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _without(docs, lambda rows: decontaminate.contaminated(rows, benchmark))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
