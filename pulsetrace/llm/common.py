@@ -43,6 +43,26 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """``docs`` with a number of its own for every row, in the order of ids.
+
+    It is the id itself unless ids repeat or are null; then all rows are sorted by id (null last)
+    and text, numbered, and written.
+    """
+    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    if rows.groupBy(name).count().where(f"count > 1 OR {name} IS NULL").isEmpty():
+        return rows
+    ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def new_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def batch_rows(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, so that one batch of long texts stays small."""
     for batch in batches:

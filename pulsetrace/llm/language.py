@@ -184,6 +184,21 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, model: Languages, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language can be told with at least ``least_score``, all columns."""
+
+    def rows(batches):
+        for batch in batch_rows(batches):
+            keep = []
+            for text in batch.column(batch.schema.names.index("text")).to_pylist():
+                slots, n = trigrams(text or "")
+                known = bool(len(slots) and model.names)
+                keep.append(known and infer(slots, n.astype(float), model)[1] >= least_score)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def identify(docs: DataFrame, held_out) -> DataFrame:
     """Learn from the documents outside ``held_out`` and predict all of ``docs``."""
     return predict(docs, learn(docs.where(~held_out)))
