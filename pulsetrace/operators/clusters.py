@@ -13,8 +13,9 @@ def silhouette(df: DataFrame, features: str = "features", prediction: str = "pre
         metricName="silhouette",
         distanceMeasure="squaredEuclidean",
     )
-    # Stops at the second cluster it meets, so it reads few rows unless there is only one.
-    if df.select(prediction).distinct().limit(2).count() < 2:
+    # Stops at the first row of a second cluster, so it reads few rows unless there is only one.
+    first = df.select(prediction).first()
+    if first is None or df.where(F.col(prediction) != first[0]).isEmpty():
         return None
     return evaluator.evaluate(df)
 

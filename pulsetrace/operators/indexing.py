@@ -19,6 +19,8 @@ from .lookup import broadcast_size, lookup
 # Vocabularies up to this size go through the driver into model metadata; larger ones are tables
 # with the same result. None puts all of them into metadata.
 MAX_DRIVER_LABELS = 20_000
+_ENTRY_BYTES = 72  # of a row beside its value
+RANKED = "value string, count long, index double, column string"
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
 
@@ -51,31 +53,35 @@ def read_index_table(spark: SparkSession, path: str) -> IndexTable:
     return IndexTable(df, df.count(), broadcast_size(df.select("value", "index")))
 
 
-def rank_values(counts: DataFrame, path: str) -> IndexTable:
-    """``counts`` of one column ranked and written, without gathering them in one task.
+def rank_values(counts: DataFrame, path: str) -> DataFrame:
+    """(column, value, count, index) for the counts of any columns, written to ``path``.
 
-    A range-partitioned sort is written out, so that partition numbers and
-    positions are settled; then each partition's starting rank, a cumulative sum
-    over one number per partition, is added and the table written with it.
+    Nothing is gathered in one task: one range-partitioned sort for all columns is written out, so
+    that partition numbers and positions are settled; then a value's rank is its
+    partition's start in its column, a cumulative sum over one number per partition, plus its
+    place among the partition's values of that column.
     """
     sorted_path = f"{path}-sorted"
-    counts.select("value", "count").orderBy(F.desc("count"), "value").withColumn(
+    counts.select("column", "value", "count").orderBy("column", F.desc("count"), "value").withColumn(
         "position", F.monotonically_increasing_id()
     ).write.mode("overwrite").parquet(sorted_path)
     written = counts.sparkSession.read.parquet(sorted_path).select(
+        "column",
         "value",
         "count",
         F.shiftright("position", _POSITION_BITS).alias("part"),
         F.col("position").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("place"),
     )
-    # One row per partition of the sort: small whatever the number of values.
-    sizes = written.groupBy("part").count().withColumnRenamed("count", "size")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    written.join(F.broadcast(starts), "part").select(
-        "value", "count", (F.col("start") + F.col("place")).cast("double").alias("index")
-    ).write.mode("overwrite").parquet(path)
-    return read_index_table(counts.sparkSession, path)
+    # One row per partition of the sort and column: small whatever the number of values.
+    sizes = written.groupBy("column", "part").agg(F.count("*").alias("size"), F.min("place").alias("first"))
+    before = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("size").over(before), F.lit(0))
+    starts = sizes.select("column", "part", (earlier - F.col("first")).alias("start"))
+    ranked = written.join(F.broadcast(starts), ["column", "part"])
+    ranked.select(
+        "column", "value", "count", (F.col("start") + F.col("place")).cast("double").alias("index")
+    ).write.mode("overwrite").partitionBy("column").parquet(path)
+    return counts.sparkSession.read.schema(RANKED).parquet(path)
 
 
 def apply_index_table(
@@ -126,9 +132,11 @@ def fit_index(
     spark: SparkSession = df.sparkSession
     counts = category_counts(df, columns).persist()
     try:
-        sizes = dict.fromkeys(columns, 0)
-        sizes.update((r["column"], r["count"]) for r in counts.groupBy("column").count().collect())
-        small = [c for c in columns if max_driver_labels is None or sizes[c] <= max_driver_labels]
+        sizes = dict.fromkeys(columns, (0, 0))
+        row = F.octet_length("value") + _ENTRY_BYTES
+        found = counts.groupBy("column").agg(F.count("*").alias("rows"), F.sum(row).alias("bytes"))
+        sizes.update((r["column"], (r["rows"], r["bytes"])) for r in found.collect())
+        small = [c for c in columns if max_driver_labels is None or sizes[c][0] <= max_driver_labels]
         labels = {c: [] for c in small}
         rows = counts.where(F.col("column").isin(*small)).collect() if small else []
         for r in sorted(rows, key=lambda r: (-r["count"], r["value"])):
@@ -140,11 +148,13 @@ def fit_index(
             )
             for c in small
         ]
-        tables = {
-            c: rank_values(counts.where(F.col("column") == c), new_scratch(spark, f"index-{c}"))
-            for c in columns
-            if c not in labels
-        }
+        large = [c for c in columns if c not in labels]
+        tables = {}
+        if large:
+            ranked = rank_values(counts.where(F.col("column").isin(*large)), new_scratch(spark, "index"))
+            tables = {
+                c: IndexTable(ranked.where(F.col("column") == c).drop("column"), *sizes[c]) for c in large
+            }
     finally:
         counts.unpersist()
     return CategoryIndex(models, tables, handle_invalid)

@@ -100,11 +100,12 @@ def test_rank_over_many_sorted_partitions(spark):
         F.format_string("v%05d", F.col("id")).alias("value"),
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 4 + 1).alias("count"),
     )
-    table = I.rank_values(values, new_scratch(spark, "rank"))
-    ranked = table.df.collect()
-    assert table.rows == 5000 and table.size > 5000 * 64
-    order = sorted(ranked, key=lambda r: (-r["count"], r["value"]))
-    assert [r["index"] for r in order] == [float(i) for i in range(5000)]
+    other = values.where("value < 'v02000'")
+    both = values.withColumn("column", F.lit("b")).unionByName(other.withColumn("column", F.lit("a")))
+    ranked = I.rank_values(both, new_scratch(spark, "rank")).collect()
+    for column, n in (("a", 2000), ("b", 5000)):
+        order = sorted((r for r in ranked if r["column"] == column), key=lambda r: (-r["count"], r["value"]))
+        assert [r["index"] for r in order] == [float(i) for i in range(n)]
 
 
 def test_category_counts_and_pairs(spark):
