@@ -12,7 +12,7 @@ from . import standins as S
 from .label_queries import LABELLED, labelled_connections
 from .registry import query
 from .scan_queries import rounded
-from .sql import METRIC_NAMES, index_cte, indexed_cte, metrics_ctes, silhouette_ctes, with_ctes
+from .sql import METRIC_NAMES, index_cte, indexed_cte, metrics_ctes, silhouette_ctes
 
 PLACES = 9
 
