@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_rows, written
+from .common import batch_rows, written
 
 FREQUENT = 50_000
 END = b""  # no word is empty

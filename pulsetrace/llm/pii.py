@@ -82,7 +82,8 @@ HOMOGLYPHS = {
     "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ",
 }
 HOMOGLYPHS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
-HOMOGLYPHS |= {chr(zero + d): str(d) for zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
+_ZEROS = (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
+HOMOGLYPHS |= {chr(zero + d): str(d) for zero in _ZEROS for d in range(10)}
 HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 # Digits as words in the four languages of the corpora, and other names of zero.
 SPELLED = {

@@ -9,7 +9,6 @@ from pulsetrace.llm import decontaminate as D
 from pulsetrace.llm import language as L
 from pulsetrace.llm import quality as Q
 from pulsetrace.llm.common import held_out
-from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.01"
 VOICES = {
