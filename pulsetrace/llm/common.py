@@ -13,9 +13,24 @@ from ..sources.scratch import new_scratch
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package where the driver has it; a job that ships it needs no path.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that the Python stages count on.
+
+    Workers find this package where the driver has it (a job that ships it needs no path), and
+    Arrow batches hold ``ARROW_ROWS`` rows at most, because rows are whole texts.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    rows = int(spark.conf.get(_ARROW))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -42,7 +42,7 @@ GENERATIONS = 6
 POPULATION = 4
 WELL_FILLED = 0.995
 SPECIAL = "<|endoftext|>"
-_KNOWN = 500_000
+_KNOWN = 120_000  # words a worker remembers; more are learnt again when they come
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _SIMPLE = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(
@@ -175,6 +175,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema
             )
+        encoder._forget()  # idle workers hold no words
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("copy")
