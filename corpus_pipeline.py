@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 """
 
 from pulsetrace.llm import decontaminate, language, packing, pii, simhash
-from pulsetrace.llm.common import held_out, new_name, numbered, table, written
+from pulsetrace.llm.common import held_out, new_name, numbered, prepare, table, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the others go."""
+    prepare(spark)
     model = language.learn(docs.where(~held_out(3, 1)))
     return language.keep_identified(docs, model, LEAST_LANGUAGE_SCORE)
 
@@ -24,6 +25,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without(docs: DataFrame, drop) -> DataFrame:
     """``docs`` without the rows whose numbers ``drop`` finds; it is given (doc_id, text) with
     those numbers as ids, so repeated and null ids do not hide or remove other rows."""
+    prepare(docs.sparkSession)
     number = new_name(docs, "doc")
     rows = numbered(docs, number)
     found = drop(rows.select(F.col(number).alias("doc_id"), "text"))
@@ -48,11 +50,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind in brackets."""
+    prepare(spark)
     return pii.redact_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place in it."""
+    prepare(spark)
     return packing.pack_documents(docs).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
