@@ -4,7 +4,8 @@ Base patterns (email, ip, card, phone) run on the text itself. Then a chain of t
 undoes disguises: homoglyphs and wide forms, zero-width characters, spelled digits, and at/dot
 written as words or in brackets. Each transducer is a list of edits (start, end, replacement); the
 composition keeps, for every normalised character, the source span it comes from, so what is
-found there is mapped back to code points of the source. A span found that way is added unless it
+found there is mapped back to code points of the source. Every transducer sees every text, so what
+is found does not depend on what else the text holds. A span found that way is added unless it
 meets a base span of its kind.
 
 Defined cases: null text counts as empty; repeated rows give the same spans; text without personal
@@ -105,18 +106,17 @@ _PLUS = r"(?:\bplus\b[\s-]*|\+\s*)?"
 _RUN = re.compile(
     rf"{_PLUS}(?<!\w)(?:(?:{_WORDS})|[0-9]+)(?:[\s,.()-]{{1,3}}(?:(?:{_WORDS})|[0-9]+))+(?!\w)", re.I
 )
-_DOT_WORDS = {"dot", "punto", "punkt", "point"}
-_BRACKETED = re.compile(
-    r"[\[({<]\s*(?:at|dot|@|\.|arroba|punto|punkt|point|klammeraffe)\s*[\])}>]", re.I
-)
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|klammeraffe)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*", re.I)
-_SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)"
+# An address is found from its "at": the domain follows it, and the name before it is read backwards.
+_SPOKEN_AT = re.compile(
+    r"(?<=[A-Za-z0-9_%+-])(?:\s+at\s+|\s*@\s*)"
     r"(?!(?:the|a|an|this|that|my|our|your|his|her|its|their)\b)"  # "looked at the dot com boom"
-    rf"(?:[A-Za-z0-9-]+(?:\s+dot\s+|\.))+(?:{TOP_LEVEL})\b", re.I,
+    rf"(?=((?:[A-Za-z0-9-]+(?:\s+dot\s+|\.))+(?:{TOP_LEVEL})\b))", re.I,
 )
-_SPOKEN_PART = re.compile(r"\s+dot\s+|\s+at\s+|\s*@\s*", re.I)
+_AT_WORD = re.compile(r"at\s(?<=\sat\s)")
+_SPOKEN_NAME = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.|\s+tod\s+)[A-Za-z0-9_%+-]+)*", re.I)
+_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|punto|punkt|point)\s+(?=[0-9])", re.I)
 
 Edit = tuple[int, int, str]
@@ -124,13 +124,39 @@ _FEWEST_SPELLED = 3
 
 
 def _look_alikes(text: str) -> list[Edit]:
+    if text.isascii():
+        return []
     return [(m.start(), m.end(), HOMOGLYPHS.get(m.group(), "")) for m in _ODD.finditer(text)]
 
 
+_TO_SPACE = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes([32] * 128)
+_SPELLED_WORDS = {w.encode() for w in SPELLED if w.isascii()} | {w for w in SPELLED}
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _spelled_run(text: str) -> bool:
+    """Whether enough digit words follow one another, numbers between them allowed."""
+    if text.isascii():
+        words = text.encode().lower().translate(_TO_SPACE).split()
+    else:
+        words = _WORD.findall(text.lower())
+    if _SPELLED_WORDS.isdisjoint(words):
+        return False
+    n = 0
+    for word in words:
+        if word in _SPELLED_WORDS:
+            n += 1
+            if n >= _FEWEST_SPELLED:
+                return True
+        elif not word.isdigit():
+            n = 0
+    return False
+
+
 def _spelled_digits(text: str) -> list[Edit]:
     """Runs of digit words, as digits side by side; separators of such a run go, its dots stay."""
     edits = []
-    if not _SPELLED.search(text):
+    if not _spelled_run(text):
         return edits
     for run in _RUN.finditer(text):
         words = list(_SPELLED.finditer(text, run.start(), run.end()))
@@ -151,21 +177,35 @@ def _spelled_digits(text: str) -> list[Edit]:
 
 
 def _dots_between_numbers(text: str) -> list[Edit]:
+    if not _DIGIT.search(text):
+        return []
     return [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)]
 
 
 def _at_and_dot(text: str) -> list[Edit]:
+    if not any(b in text for b in "[({<"):
+        return []
     edits = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
     return sorted(edits + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)])
 
 
 def _spoken_addresses(text: str) -> list[Edit]:
-    edits = []
-    for address in _SPOKEN.finditer(text):
-        for part in _SPOKEN_PART.finditer(address.group()):
-            at, stop = address.start() + part.start(), address.start() + part.end()
-            edits.append((at, stop, "." if "dot" in part.group().lower() else "@"))
-    return edits
+    edits, backwards, done = [], None, 0
+    if "@" not in text and not _AT_WORD.search(text.lower()):
+        return edits
+    for at in _SPOKEN_AT.finditer(text):
+        if at.start() < done:
+            continue
+        backwards = backwards or text[::-1]
+        name = _SPOKEN_NAME.match(backwards, len(text) - at.start(), len(text) - done)
+        if name is None:
+            continue
+        for low, high in ((len(text) - name.end(), at.start()), at.span(1)):
+            edits += [(m.start(), m.end(), ".") for m in _SPOKEN_DOT.finditer(text, low, high)]
+        if at.group() != "@":
+            edits.append((at.start(), at.end(), "@"))
+        done = at.end(1)
+    return sorted(edits)
 
 
 CHAIN: tuple[Callable[[str], list[Edit]], ...] = (
@@ -200,46 +240,16 @@ class Mapped:
         return int(self.starts[start]), int(self.ends[end - 1])
 
 
-_TO_SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
-_SPELLED_BYTES = {w.encode() for w in SPELLED} | {w.upper().encode().lower() for w in SPELLED}
-_DOT_BYTES = {w.encode() for w in _DOT_WORDS}
-
-
-def _spelled_run(words: list[bytes]) -> bool:
-    """Whether enough digit words follow one another, numbers between them allowed."""
-    n = 0
-    for word in words:
-        if word in _SPELLED_BYTES:
-            n += 1
-            if n >= _FEWEST_SPELLED:
-                return True
-        elif not word.isdigit():
-            n = 0
-    return False
-
-
-def disguised(text: str) -> bool:
-    """Whether any transducer could change the text; a cheap test, over the whole of it."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    if any(b in text for b in "[({<") and _BRACKETED.search(text):
-        return True
-    words = text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split()
-    known = set(words)
-    if not known.isdisjoint(_DOT_BYTES):
-        return True
-    return not known.isdisjoint(_SPELLED_BYTES) and _spelled_run(words)
-
-
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, each in order of start, then kind."""
     base = detect(text)
-    if not disguised(text):
-        return base, base
-    mapped = Mapped(text)
+    mapped = None
     for transducer in CHAIN:
-        mapped.apply(transducer(mapped.text))
-    if mapped.text == text:
+        edits = transducer(mapped.text if mapped else text)
+        if edits:
+            mapped = mapped or Mapped(text)
+            mapped.apply(edits)
+    if mapped is None or mapped.text == text:
         return base, base
     added = []
     for start, kind, end in detect(mapped.text):

@@ -43,6 +43,19 @@ def test_clean_text_is_left_alone(text):
     assert P.find(text) == ([], []) and P.redact(text) == text
 
 
+@pytest.mark.parametrize("text, found", [
+    ("write to alice at example.com", "alice at example.com"), ("alice @ example.com", "alice @ example.com"),
+    ("é alice  at mail.example.com", "alice  at mail.example.com"), ("john@mail dot com", "john@mail dot com"),
+    ("é one\u2003two\u2003three 4111 1111 1111 1111", None),
+])
+def test_what_is_found_does_not_depend_on_the_rest_of_the_text(text, found):
+    base, spans = P.find(text)
+    if found:
+        assert base == [] and [(P.KINDS[k], text[a:b]) for a, k, b in spans] == [("email", found)]
+    for other in ("\n a point", "\n [at]", "\n\u00a0", "\n nought zero oh"):
+        assert P.find(text + other) == (base, spans)
+
+
 def brute(text):
     """The base rules, every kind on its own, without any shortcut."""
     rules = {
