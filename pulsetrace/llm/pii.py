@@ -5,8 +5,8 @@ undoes disguises: homoglyphs and wide forms, zero-width characters, spelled digi
 written as words or in brackets. Each transducer is a list of edits (start, end, replacement); the
 composition keeps, for every normalised character, the source span it comes from, so what is
 found there is mapped back to code points of the source. Every transducer sees every text, so what
-is found does not depend on what else the text holds. A span found that way is added unless it
-meets a base span of its kind.
+is found does not depend on what else the text holds. A span found that way is added unless a
+base span of its kind contains it, so spans of a kind may overlap; redaction makes them one.
 
 Defined cases: null text counts as empty; repeated rows give the same spans; text without personal
 data gives zero counts, the digest of the empty string and an empty list; an empty table gives no
@@ -240,8 +240,8 @@ class Mapped:
         return int(self.starts[start]), int(self.ends[end - 1])
 
 
-def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans) of a text, each in order of start, then kind."""
+def _undone(text: str) -> tuple[list[Span], list[Span]]:
+    """(base spans, spans of the source found after the chain); none of the latter where it changes nothing."""
     base = detect(text)
     mapped = None
     for transducer in CHAIN:
@@ -250,13 +250,36 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             mapped = mapped or Mapped(text)
             mapped.apply(edits)
     if mapped is None or mapped.text == text:
-        return base, base
-    added = []
+        return base, []
+    spans = []
     for start, kind, end in detect(mapped.text):
         a, b = mapped.source_span(start, end)
-        if not any(k == kind and a < stop and at < b for at, k, stop in base):
-            added.append((a, kind, b))
-    return base, sorted(base + added)
+        spans.append((a, kind, b))
+    return base, spans
+
+
+def find_all(text: str) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans) of a text, each in order of start, then kind.
+
+    A span of the chain is added unless a base span of its kind contains it: where only part of an
+    address is disguised, its base match is shorter than the address.
+    """
+    base, undone = _undone(text)
+    added = {
+        (a, kind, b) for a, kind, b in undone
+        if not any(k == kind and at <= a and b <= stop for at, k, stop in base)
+    }
+    return base, sorted([*base, *added])
+
+
+def find(text: str) -> tuple[list[Span], list[Span]]:
+    """Like ``find_all``, but added spans keep clear of the base spans of their kind."""
+    base, spans = find_all(text)
+    own = set(base)
+    return base, [
+        (a, kind, b) for a, kind, b in spans
+        if (a, kind, b) in own or not any(k == kind and a < stop and at < b for at, k, stop in base)
+    ]
 
 
 def listed(spans: Iterable[Span]) -> str:
@@ -272,7 +295,7 @@ def detect_pii(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batch_rows(batches):
-            found = [find(t or "") for t in batch.column("text").to_pylist()]
+            found = [find_all(t or "") for t in batch.column("text").to_pylist()]
             number = [[sum(k == i for _, k, _ in base) for base, _ in found] for i in range(len(KINDS))]
             digest = [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
@@ -289,7 +312,7 @@ def detect_pii(docs: DataFrame) -> DataFrame:
 def redact(text: str) -> str:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one."""
     merged: list[list[int]] = []
-    for start, kind, end in find(text)[1]:
+    for start, kind, end in find_all(text)[1]:
         if merged and start < merged[-1][2]:
             merged[-1][2] = max(merged[-1][2], end)
         else:

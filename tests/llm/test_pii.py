@@ -56,6 +56,32 @@ def test_what_is_found_does_not_depend_on_the_rest_of_the_text(text, found):
         assert P.find(text + other) == (base, spans)
 
 
+@pytest.mark.parametrize("text, part", [
+    ("jоhn@example.com", "hn@example.com"), ("john@mail.cоm", "john@mail.c"), ("a\u200bb@ex.com", "b@ex.com"),
+])
+def test_a_partly_disguised_address_is_found_and_redacted_whole(text, part):
+    base, spans = P.find_all("to " + text + " now")
+    found = lambda some: [("to " + text)[a:b] for a, _, b in some]
+    assert found(base) == [part] and sorted(found(spans)) == sorted([part, text])
+    assert P.redact("to " + text + " now") == "to [EMAIL] now"
+
+
+def test_rows_hold_the_wider_span_and_count_the_base_one(spark):
+    (r,) = P.detect_pii(spark.createDataFrame([(1, "jоhn@example.com")], "doc_id long, text string")).collect()
+    assert (r["n_email"], r["spans"]) == (1, "email:0:16,email:2:16")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([
+    "a@b.co", "4111 1111 1111 1111", "10.0.0.1", ".", " ", "7", "@", "x", "one ", " dot ", " at ", "[at]", "о", "\u200b", "com",
+]), max_size=12).map("".join))
+def test_added_spans_are_skipped_only_inside_a_base_span(text):
+    base, spans = P.find_all(text)
+    assert base == brute(text) and set(base) <= set(spans)
+    for a, kind, b in set(spans) - set(base):
+        assert 0 <= a < b <= len(text) and not any(k == kind and s <= a and b <= e for s, k, e in base)
+
+
 def brute(text):
     """The base rules, every kind on its own, without any shortcut."""
     rules = {
