@@ -97,7 +97,19 @@ SPELLED = {
     )
     for digit, word in enumerate(words.split())
 } | {"oh": "0", "zwo": "2", "nought": "0"}
+# Top-level names after "at" and a plain dot. An explicit "dot", or "@", lets any alphabetic name follow.
 TOP_LEVEL = "com|org|net|edu|gov|io|info|biz|co|de|fr|es|uk|eu|example|test"
+COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd"
+    " cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz dj dk dm do dz ec ee eg er et fi fj fk fm fo ga gd ge gf gg gh gi gl"
+    " gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw"
+    " ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne"
+    " nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si"
+    " sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug us uy uz va vc ve vg"
+    " vi vn vu wf ws ye yt za zm zw"
+).split()
+# Of these, words that follow "at one point" in English prose.
+_PROSE = set("am as at be by do in is it me my no so to us".split())
 
 _ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS) + HIDDEN) + "]")
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -108,16 +120,30 @@ _RUN = re.compile(
 )
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|klammeraffe)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*", re.I)
+_PLUS_SIGN = re.compile(r"plus\b[\s-]*|\+\s*", re.I)
+_DOT_WORD = r"\s+(?:dot|punto|punkt|point)\s+"
 # An address is found from its "at": the domain follows it, and the name before it is read backwards.
 _SPOKEN_AT = re.compile(
-    r"(?<=[A-Za-z0-9_%+-])(?:\s+at\s+|\s*@\s*)"
+    r"(?<=[A-Za-z0-9_%+-])(?:\s+(?:at|(?P<far>arroba|arobase|klammeraffe))\s+|\s*(?P<sign>@)\s*)"
     r"(?!(?:the|a|an|this|that|my|our|your|his|her|its|their)\b)"  # "looked at the dot com boom"
-    rf"(?=((?:[A-Za-z0-9-]+(?:\s+dot\s+|\.))+(?:{TOP_LEVEL})\b))", re.I,
+    rf"(?=(?P<domain>[A-Za-z0-9-]+(?:(?:{_DOT_WORD}|\.)[A-Za-z0-9-]+)*(?:"
+    r"\s+(?:dot|punto|punkt)\s+(?!(?:the|and|or)\b)[a-z]{2,}"
+    rf"|\s+point\s+(?:{TOP_LEVEL}|{'|'.join(c for c in COUNTRIES if c not in _PROSE)}|(?(far)[a-z]{{2,}}|(?!)))"
+    # "stopped at home.It was late"
+    rf"|\.(?:{TOP_LEVEL}|(?-i:(?![A-Z][a-z]))(?:{'|'.join(COUNTRIES)})|(?(sign)[a-z]{{2,}}|(?(far)[a-z]{{2,}}|(?!))))"
+    r")\b))", re.I,
 )
 _AT_WORD = re.compile(r"at\s(?<=\sat\s)")
-_SPOKEN_NAME = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.|\s+tod\s+)[A-Za-z0-9_%+-]+)*", re.I)
-_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
-_NUMBER_DOT = re.compile(r"(?<=[0-9])\s+(?:dot|punto|punkt|point)\s+(?=[0-9])", re.I)
+_FAR = ("arroba", "arobase", "klammeraffe")
+_SPOKEN_NAME, _POINTED_NAME = (
+    re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|\s+(?:{dots})\s+)[A-Za-z0-9_%+-]+)*", re.I)
+    for dots in ("tod|otnup|tknup", "tod|otnup|tknup|tniop")
+)
+_POINT = re.compile(r"\spoint\s", re.I)
+_SPOKEN_DOT = re.compile(_DOT_WORD, re.I)
+_NUMBER_DOT = re.compile(
+    rf"(?:(?<=[0-9])|\b(?P<word>{_WORDS}))(?P<dot>{_DOT_WORD})(?=[0-9]|(?:{_WORDS})\b)", re.I
+)
 
 Edit = tuple[int, int, str]
 _FEWEST_SPELLED = 3
@@ -135,32 +161,38 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def _spelled_run(text: str) -> bool:
-    """Whether enough digit words follow one another, numbers between them allowed."""
+    """Whether digit words stand beside numbers, or enough of them follow one another."""
     if text.isascii():
         words = text.encode().lower().translate(_TO_SPACE).split()
     else:
         words = _WORD.findall(text.lower())
     if _SPELLED_WORDS.isdisjoint(words):
         return False
-    n = 0
+    n, number = 0, False
     for word in words:
         if word in _SPELLED_WORDS:
             n += 1
-            if n >= _FEWEST_SPELLED:
-                return True
-        elif not word.isdigit():
-            n = 0
+        elif word.isdigit():
+            number = True
+        else:
+            n, number = 0, False
+        if n >= _FEWEST_SPELLED or n and number:
+            return True
     return False
 
 
 def _spelled_digits(text: str) -> list[Edit]:
-    """Runs of digit words, as digits side by side; separators of such a run go, its dots stay."""
+    """Runs of digit words, as digits side by side; separators of such a run go, its dots stay.
+
+    A run of fewer words beside numbers keeps its separators; it must then hold an identifier.
+    """
     edits = []
     if not _spelled_run(text):
         return edits
     for run in _RUN.finditer(text):
         words = list(_SPELLED.finditer(text, run.start(), run.end()))
         if len(words) < _FEWEST_SPELLED:
+            edits += _few_digits(run, words)
             continue
         first = run.start()
         if text[first : first + 4].lower() == "plus":
@@ -176,10 +208,26 @@ def _spelled_digits(text: str) -> list[Edit]:
     return edits
 
 
+def _few_digits(run: re.Match, words: list[re.Match]) -> list[Edit]:
+    """The words of a run as digits, if an identifier comes of it that holds one of them."""
+    if not words or not _DIGIT.search(run.group()):
+        return []
+    plus = _PLUS_SIGN.match(run.group())
+    edits = [(run.start(), run.start() + plus.end(), "+")] if plus else []
+    edits += [(w.start(), w.end(), SPELLED[w.group().lower()]) for w in words if w.group().lower() in SPELLED]
+    rebuilt = Mapped(run.group())
+    rebuilt.apply((a - run.start(), b - run.start(), new) for a, b, new in edits)
+    for start, _, end in detect(rebuilt.text):
+        a, b = rebuilt.source_span(start, end)
+        if any(a <= w.start() - run.start() < b for w in words):
+            return edits
+    return []
+
+
 def _dots_between_numbers(text: str) -> list[Edit]:
-    if not _DIGIT.search(text):
+    if not _SPOKEN_DOT.search(text):
         return []
-    return [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)]
+    return [(m.start("dot"), m.end("dot"), ".") for m in _NUMBER_DOT.finditer(text)]
 
 
 def _at_and_dot(text: str) -> list[Edit]:
@@ -191,20 +239,23 @@ def _at_and_dot(text: str) -> list[Edit]:
 
 def _spoken_addresses(text: str) -> list[Edit]:
     edits, backwards, done = [], None, 0
-    if "@" not in text and not _AT_WORD.search(text.lower()):
-        return edits
+    if "@" not in text:
+        low = text.lower()
+        if not (_AT_WORD.search(low) or any(word in low for word in _FAR)):
+            return edits
     for at in _SPOKEN_AT.finditer(text):
         if at.start() < done:
             continue
         backwards = backwards or text[::-1]
-        name = _SPOKEN_NAME.match(backwards, len(text) - at.start(), len(text) - done)
+        pointed = at["far"] or _POINT.search(at["domain"])  # else "in point bob at mail dot com" grows
+        name = (_POINTED_NAME if pointed else _SPOKEN_NAME).match(backwards, len(text) - at.start(), len(text) - done)
         if name is None:
             continue
-        for low, high in ((len(text) - name.end(), at.start()), at.span(1)):
+        for low, high in ((len(text) - name.end(), at.start()), at.span("domain")):
             edits += [(m.start(), m.end(), ".") for m in _SPOKEN_DOT.finditer(text, low, high)]
         if at.group() != "@":
             edits.append((at.start(), at.end(), "@"))
-        done = at.end(1)
+        done = at.end("domain")
     return sorted(edits)
 
 
@@ -266,7 +317,7 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     """
     base, undone = _undone(text)
     added = {
-        (a, kind, b) for a, kind, b in undone
+        (a, kind, b) for a, kind, b in set(undone).difference(base)
         if not any(k == kind and at <= a and b <= stop for at, k, stop in base)
     }
     return base, sorted([*base, *added])

@@ -82,6 +82,35 @@ def test_added_spans_are_skipped_only_inside_a_base_span(text):
         assert 0 <= a < b <= len(text) and not any(k == kind and s <= a and b <= e for s, k, e in base)
 
 
+@pytest.mark.parametrize("kind, found", [
+    *(("email", x) for x in (
+        "bob at mail dot it", "bob at mail dot nl", "bob at mail dot ch", "bob at mail dot ai", "bob at mail dot museum",
+        "juan arroba correo punto es", "juan punto paz arroba correo punto museum", "uwe at post punkt ch",
+        "jean point roux arobase poste point fr", "jean point roux at poste point ch", "bob at mail.nl", "bob @ mail.museum",
+    )),
+    ("phone", "+1 555 123 45 six seven"), ("phone", "plus 1 555 123 45 six seven"), ("phone", "+1 555 123 45 6 sieben"),
+    ("ip", "10.0.0.one"), ("ip", "10 dot 0 dot zero dot one"), ("card", "4111 1111 1111 111 one"),
+])
+def test_spoken_identifiers_in_other_languages_and_with_few_digit_words(kind, found):
+    text = "é; " + found + " ok"
+    base, spans = P.find_all(text)
+    assert (kind, found) in [(P.KINDS[k], text[a:b]) for a, k, b in spans if (a, k, b) not in base]
+    assert found not in P.redact(text)
+
+
+@pytest.mark.parametrize("text", [
+    "He was at one point in charge.", "We met at some point so it is.", "I looked at home.It was late.",
+    "In 2019, one of 300 came", "10.5 or one 7", "She is at home dot and dash", "one point 5 and two",
+])
+def test_prose_with_the_same_words_is_left_alone(text):
+    assert P.find_all(text) == ([], [])
+
+
+def test_a_digit_word_after_an_address_is_not_part_of_it():
+    for text in ("10.0.0.1, one more", "10.0.0.1 one more"):
+        assert P.redact(text) == "[IP]" + text[8:]
+
+
 def brute(text):
     """The base rules, every kind on its own, without any shortcut."""
     rules = {
