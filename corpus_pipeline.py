@@ -8,18 +8,15 @@ from pulsetrace.llm.common import held_out, new_name, numbered, prepare, table,
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A document without a letter, or whose likeliest language scores less than this, is not kept.
-LEAST_LANGUAGE_SCORE = 0.05
-
 # Language models and alignments have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go."""
+    """Documents with a language; those that are ``und``, without a letter, go, whatever the others score."""
     prepare(spark)
     model = language.learn(docs.where(~held_out(3, 1)))
-    return language.keep_identified(docs, model, LEAST_LANGUAGE_SCORE)
+    return language.keep_identified(docs, model)
 
 
 def _without(docs: DataFrame, drop) -> DataFrame:

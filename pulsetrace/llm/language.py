@@ -158,22 +158,23 @@ def infer(slots: np.ndarray, n: np.ndarray, model: Languages) -> tuple[int, floa
     return winner, float(min(found[winner] * sure, 1.0)), found
 
 
+def named(text: str | None, model: Languages) -> tuple[str, float]:
+    """(language, score) of a text."""
+    slots, n = trigrams(text or "")
+    if not len(slots) or not model.names:
+        return UNKNOWN, 0.0
+    best, value, _ = infer(slots, n.astype(float), model)
+    return model.names[best], value
+
+
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """(doc_id, lang_pred, score) for every document, from its text alone."""
     schema = arrow_schema(doc_id=pa.int64(), lang_pred=pa.string(), score=pa.float64())
 
     def rows(batches):
         for batch in batch_rows(batches):
-            names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                slots, n = trigrams(text or "")
-                if not len(slots) or not model.names:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                best, value, _ = infer(slots, n.astype(float), model)
-                names.append(model.names[best])
-                scores.append(value)
+            found = [named(text, model) for text in batch.column("text").to_pylist()]
+            names, scores = [name for name, _ in found], [score for _, score in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 schema=schema,
@@ -184,16 +185,13 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, model: Languages, least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language can be told with at least ``least_score``, all columns."""
+def keep_identified(docs: DataFrame, model: Languages) -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, all columns; no score is too low."""
 
     def rows(batches):
         for batch in batch_rows(batches):
-            keep = []
-            for text in batch.column(batch.schema.names.index("text")).to_pylist():
-                slots, n = trigrams(text or "")
-                known = bool(len(slots) and model.names)
-                keep.append(known and infer(slots, n.astype(float), model)[1] >= least_score)
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            keep = [named(text, model)[0] != UNKNOWN for text in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

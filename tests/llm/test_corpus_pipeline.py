@@ -40,6 +40,16 @@ def test_stages_keep_clean_documents_and_drop_what_they_are_for(spark, tmp_path)
     assert ids(whole) == ids(docs)
 
 
+def test_evenly_mixed_documents_are_kept_however_many_languages_are_learned(spark):
+    words = {f"l{i:02}": " ".join([chr(0x4E00 + 50 * i + k) * 3 for k in range(40)]) for i in range(60)}
+    rows = [(3 * i, (text + " ") * 200, lang, "s", 200 * len(text) + 200) for i, (lang, text) in enumerate(words.items())]
+    mixed = " ".join(words.values())
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*rows, (200, mixed, None, "s", len(mixed)), (201, "12 !", None, "s", 4)], schema)
+    kept = {r["doc_id"] for r in pipeline.identified(spark, docs, SMOKE_DIR).collect()}
+    assert kept == {*range(0, 180, 3), 200}
+
+
 def test_stages_take_odd_rows_and_empty_tables(spark):
     docs = edge_documents(spark, (30, "Plain words in a row, and more of them."))
     left = {}
