@@ -10,12 +10,15 @@ base span of its kind contains it, so spans of a kind may overlap; redaction mak
 
 Defined cases: null text counts as empty; repeated rows give the same spans; text without personal
 data gives zero counts, the digest of the empty string and an empty list; an empty table gives no
-rows; other columns are ignored. Texts are read whole.
+rows; other columns are ignored. Texts are read whole, in time that grows with their length: every
+pattern starts where a run of its characters does, or is found from a sign inside and read backwards.
 """
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from string import ascii_letters, digits as DIGITS
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,15 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_rows
 
 KINDS = ("email", "ip", "card", "phone")
-# The four patterns.
+# The patterns, with a start that no shorter match could have and runs taken whole, which leaves the
+# leftmost matches as they are. Addresses are found from their "@", see ``_emails``.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_LOCAL = ascii_letters + DIGITS + "._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DIGIT = re.compile("[0-9]")
 _NO_DIGIT = re.compile("[^0-9]")
 
@@ -42,10 +47,9 @@ def _luhn(digits: str) -> bool:
 
 
 def _passes(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") for p in found.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     digits = _NO_DIGIT.sub("", found)
     if kind == "card":
         return 14 <= len(digits) <= 19 and _luhn(digits)
@@ -55,19 +59,29 @@ def _passes(kind: str, found: str) -> bool:
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost first."""
+    at, free = text.find("@"), 0
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(_LOCAL))
+        free = at + 1
+        domain = _DOMAIN.match(text, free) if start < at else None
+        if domain:
+            free = domain.end()
+            yield start, free
+        at = text.find("@", free)
+
+
 def detect(text: str) -> list[Span]:
     """Spans of the base patterns, in order of start, then kind."""
-    wanted = []
-    if "@" in text:
-        wanted.append("email")
+    found = [(start, 0, end) for start, end in _emails(text)]
     if _DIGIT.search(text):
-        wanted += ["ip", "card"] + ["phone"] * ("+" in text)
-    return sorted(
-        (m.start(), KINDS.index(kind), m.end())
-        for kind in wanted
-        for m in PATTERNS[kind].finditer(text)
-        if _passes(kind, m.group())
-    )
+        for kind in ("ip", "card") + ("phone",) * ("+" in text):
+            place = KINDS.index(kind)
+            found += [
+                (m.start(), place, m.end()) for m in PATTERNS[kind].finditer(text) if _passes(kind, m.group())
+            ]
+    return sorted(found)
 
 
 # Characters that look like an ASCII one; wide forms follow by rule.
@@ -118,8 +132,9 @@ _PLUS = r"(?:\bplus\b[\s-]*|\+\s*)?"
 _RUN = re.compile(
     rf"{_PLUS}(?<!\w)(?:(?:{_WORDS})|[0-9]+)(?:[\s,.()-]{{1,3}}(?:(?:{_WORDS})|[0-9]+))+(?!\w)", re.I
 )
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|klammeraffe)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*", re.I)
+_BRACKETED = re.compile(
+    r"[\[({<]\s*+(?:(?P<at>at|@|arroba|klammeraffe)|dot|\.|punto|punkt|point)\s*+[\])}>]\s*+", re.I
+)
 _PLUS_SIGN = re.compile(r"plus\b[\s-]*|\+\s*", re.I)
 _DOT_WORD = r"\s+(?:dot|punto|punkt|point)\s+"
 # An address is found from its "at": the domain follows it, and the name before it is read backwards.
@@ -141,6 +156,7 @@ _SPOKEN_NAME, _POINTED_NAME = (
 )
 _POINT = re.compile(r"\spoint\s", re.I)
 _SPOKEN_DOT = re.compile(_DOT_WORD, re.I)
+_DOT_ALONE = re.compile(r"(?<=\s)(?:dot|punto|punkt|point)(?=\s)", re.I)
 _NUMBER_DOT = re.compile(
     rf"(?:(?<=[0-9])|\b(?P<word>{_WORDS}))(?P<dot>{_DOT_WORD})(?=[0-9]|(?:{_WORDS})\b)", re.I
 )
@@ -225,16 +241,21 @@ def _few_digits(run: re.Match, words: list[re.Match]) -> list[Edit]:
 
 
 def _dots_between_numbers(text: str) -> list[Edit]:
-    if not _SPOKEN_DOT.search(text):
+    if not _DOT_ALONE.search(text):
         return []
     return [(m.start("dot"), m.end("dot"), ".") for m in _NUMBER_DOT.finditer(text)]
 
 
 def _at_and_dot(text: str) -> list[Edit]:
+    """Bracketed signs with the blanks around them, which are read backwards from the bracket."""
+    edits, done = [], 0
     if not any(b in text for b in "[({<"):
-        return []
-    edits = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
-    return sorted(edits + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)])
+        return edits
+    for m in _BRACKETED.finditer(text):
+        start = done + len(text[done : m.start()].rstrip())
+        done = m.end()
+        edits.append((start, done, "@" if m["at"] else "."))
+    return edits
 
 
 def _spoken_addresses(text: str) -> list[Edit]:
@@ -316,23 +337,18 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     address is disguised, its base match is shorter than the address.
     """
     base, undone = _undone(text)
-    added = {
-        (a, kind, b) for a, kind, b in set(undone).difference(base)
-        if not any(k == kind and at <= a and b <= stop for at, k, stop in base)
-    }
+    added = set(undone).difference(base)
+    if added:
+        # Base spans of a kind do not overlap, so only the last one that starts before a span can contain it.
+        own = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+        starts = [[a for a, _ in spans] for spans in own]
+        for a, kind, b in list(added):
+            at = bisect_right(starts[kind], a) - 1
+            if at >= 0 and b <= own[kind][at][1]:
+                added.discard((a, kind, b))
     return base, sorted([*base, *added])
 
 
-def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Like ``find_all``, but added spans keep clear of the base spans of their kind."""
-    base, spans = find_all(text)
-    own = set(base)
-    return base, [
-        (a, kind, b) for a, kind, b in spans
-        if (a, kind, b) in own or not any(k == kind and a < stop and at < b for at, k, stop in base)
-    ]
-
-
 def listed(spans: Iterable[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
