@@ -11,6 +11,7 @@ are not learned; repeated rows score alike; an empty table gives no rows; other
 Texts are read whole, in blocks of a million characters.
 """
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +31,9 @@ _LETTER: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Which of the first 65,536 code points are letters."""
+    """Which code points of all planes are letters."""
     if not _LETTER:
-        _LETTER.append(np.array([chr(c).isalpha() for c in range(SLOTS)]))
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool))
     return _LETTER[0]
 
 
@@ -42,7 +43,7 @@ def _slots(text: str) -> Iterator[np.ndarray]:
     for at in range(0, max(len(text), 1), BLOCK):
         block = text[max(at - 1, 0) : at + BLOCK + 1].lower()
         code = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        is_letter = (code >= SLOTS) | letter[np.minimum(code, SLOTS - 1)]
+        is_letter = letter[code]
         code = np.concatenate([[0], np.where(is_letter, code, 0), [0]]).astype(np.uint32)
         mixed = (code[:-2] * np.uint32(0x9E3779B1)) ^ (code[1:-1] * np.uint32(0x85EBCA6B))
         mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35) + code[2:] * np.uint32(0x27D4EB2F)

@@ -61,6 +61,17 @@ def test_discriminant_equals_the_density_ratio():
     assert model.log_odds(x) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text, letters", [
+    ("😀😀", 0), ("𝟏𝟐", 0), ("🎉 1", 0), ("\U0010ffff \U000e0001", 0), ("½ ² _", 0), ("𠀀𠀁", 2), ("𝐀 b", 2), ("ª1", 1), ("é\u0301", 1),
+])
+def test_letters_of_all_planes(text, letters):
+    assert sum(map(str.isalpha, text)) == letters
+    slots, n = L.trigrams(text)
+    assert n.sum() == letters
+    model = L.Languages(["aa", "bb"], np.full((L.SLOTS, 2), -11.0))
+    assert (L.named(text, model) == ("und", 0.0)) == (letters == 0)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = L.identify(docs, held_out(3, 1)).join(docs.select("doc_id", "lang", held_out(3, 1).alias("h")), "doc_id").collect()
