@@ -23,6 +23,7 @@ gives no rows; other columns are ignored.
 import base64
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -46,7 +47,7 @@ _KNOWN = 120_000  # words a worker remembers; more are learnt again when they co
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _SIMPLE = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 _PIECES = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 
 
@@ -374,6 +375,21 @@ def _grouped(items: DataFrame, capacity: int, shard: int, total: int, settings:
     )
 
 
+def _offsets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per piece of the sequences (sequence_id, copies, lengths): running sums of lengths are the places."""
+    for batch in batches:
+        numbers, copies, lengths = batch.columns
+        n = lengths.value_lengths().to_numpy()
+        flat = lengths.flatten().to_numpy()
+        upto = np.cumsum(flat) - flat
+        first = np.cumsum(n) - n
+        offset = upto - np.repeat(upto[first[n > 0]], n[n > 0])
+        yield pa.RecordBatch.from_arrays(
+            [copies.flatten(), pa.array(np.repeat(numbers.to_numpy(), n)), pa.array(offset)],
+            ["copy", "sequence_id", "offset"],
+        )
+
+
 def pack(
     found: DataFrame,
     capacity: int = CAPACITY,
@@ -401,14 +417,10 @@ def pack(
     placed = written(
         done.groupBy("round", "bin").agg(F.sort_array(F.collect_list(F.struct("copy", "length"))).alias("p")), "bins"
     )
-    offsets = placed.withColumn("sequence_id", F.monotonically_increasing_id()).select(
-        "sequence_id", F.posexplode("p").alias("k", "x"), "p"
-    ).select(
-        F.col("x.copy").alias("copy"), "sequence_id",
-        F.aggregate(
-            F.slice("p", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, y: s + y["length"]
-        ).alias("offset"),
-    )
+    offsets = placed.select(
+        F.monotonically_increasing_id().alias("sequence_id"), F.col("p.copy").alias("copies"),
+        F.col("p.length").cast("array<long>").alias("lengths"),
+    ).mapInArrow(_offsets, "copy long, sequence_id long, offset long")
     whole = found.where(F.col("length") == capacity).withColumn(
         "sequence_id", -1 - F.monotonically_increasing_id()
     ).withColumn("offset", F.lit(0).cast("long"))

@@ -5,12 +5,15 @@ import zlib
 import numpy as np
 import pytest
 from edge import documents, edge_documents, with_clashes
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pulsetrace.llm import packing as P
 
 TEXTS = [
     "", "plain words, and more", "a<|endoftext|>b", "日本語 text ١٢", "x y  z\n\n\n q's I'LL we'll", " nbsp 　 \t\n a",
     "ſtrange ﬁ Ǆ ʰ", "emoji 😀 ok", "é́ combining", "1234 ²³½ Ⅷ", "\n\n\n", "   ", "a\r\n\r\nb \x0b\x0c c", "tab\t\tend\n",
     "***!!! $$$ word*** _x_", "'s't'S 'd", "\x00\x1c\x1d\x1f\x85 control",
+    "\n\n\x1cs!1a! \x0b's", "1\t\t\t.\x1f'sb", "a \x1e b\x1d\x1c",
 ]
 
 
@@ -29,6 +32,41 @@ def test_ids_are_those_of_the_tokenizer(encoder, monkeypatch, spark):
         assert [g.tolist() for g in got] == want
 
 
+@settings(max_examples=1000, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=st.text(st.sampled_from("ab's1 \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0.!éß²😀中"), max_size=14))
+def test_ids_of_odd_texts(encoder, text):
+    assert encoder.encode([text])[0].tolist() == encoder.reference.encode(text, add_special_tokens=False).ids + [0]
+
+
+def least_bins(lengths, capacity):
+    """The smallest number of bins, by trying every placement (largest first, equal rooms once)."""
+    order, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(order):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= order[i]}:
+            left = list(rooms)
+            left.remove(room)
+            place(i + 1, left + [room - order[i]])
+        place(i + 1, [*rooms, capacity - order[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_shards_need_as_few_sequences_as_any_placement():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = np.sort(rng.integers(5, 60, 9))[::-1]
+        shard = P.Shard(lengths, 100)
+        best = shard.evolve(shard.start(rng, 6), rng, 60)[0]
+        assert len(best) == least_bins(lengths.tolist(), 100)
+
+
 def checked(rows, encoder, docs, capacity):
     """Every document whole, in order, and every sequence gapless and within capacity."""
     texts = {}
