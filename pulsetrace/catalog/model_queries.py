@@ -5,7 +5,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from ..models import store
 from ..models.specs import NAIVE_BAYES, SPECS, ModelSpec
-from ..models.training import fit, fit_kmeans_seeds
+from ..models.training import fit, fit_features, fit_kmeans_seeds, training_rows
 from ..operators import evaluation
 from ..operators.labeling import label_by_indicator
 from ..plans import datasets
@@ -24,6 +24,7 @@ from .sql import (
     metrics_ctes,
     multinomial_nb_ctes,
     silhouette_ctes,
+    starts_ctes,
     two_means_ctes,
     with_ctes,
 )
@@ -207,7 +208,7 @@ def conn_naive_bayes_alarms(spark, sf_dir):
 
 
 SEEDS = tuple(range(1, 11))
-# Like CONN_KMEANS: all seeds end at one fixed point.
+# Moved to its fixed point; the best of ten seeds is the one that the SQL moves to.
 GROUP_KMEANS = SPECS["group_kmeans"].with_params(maxIter=100, tol=1e-9)
 GROUP_FEATURES = SPECS["group_kmeans"].features
 GROUP_CLUSTERS = GROUP_WHOLE_TEST + two_means_ctes("group_train", "group_test", GROUP_FEATURES)
@@ -238,12 +239,58 @@ points AS (
 )
 
 
-@query(GROUP_SILHOUETTE + """
-SELECT CAST(seed AS BIGINT) AS seed, round(silhouette, 6) AS silhouette, round(silhouette, 6) AS kept
-FROM silhouette, unnest(range(1, 11)) s(seed)""")
+# First centres given to both sides: each seed's shares of the way through the training box.
+STARTS = tuple((seed, (seed - 1) / 20, 1 - (seed - 1) / 40) for seed in SEEDS)
+
+
+def _given(rows, features, starts=STARTS):
+    """First centres at the shares that ``starts`` names of the box around ``rows``."""
+    box = rows.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).first()
+    low, high = [float(box[f"lo_{f}"]) for f in features], [float(box[f"hi_{f}"]) for f in features]
+    return {
+        seed: [[a + (b - a) * share for a, b in zip(low, high)] for share in shares] for seed, *shares in starts
+    }
+
+
+def _from_given(spec, train, starts=STARTS, keep="best"):
+    """Fits from given starts with the model's own rounds and tolerance."""
+    rows = training_rows(spec, train)
+    indexed = fit_features(spec, rows).score(rows, drop_nulls=False) if spec.categories else rows
+    given = _given(indexed, spec.features, starts)
+    return fit_kmeans_seeds(spec, train, [seed for seed, *_ in starts], keep, starts=given)
+
+
+def _ends(spark, runs, features):
+    rows = [
+        (r.seed, r.rounds, float(r.cost), r.silhouette, *map(float, r.centres[0] + r.centres[1])) for r in runs
+    ]
+    places = [f"{side}_{f}" for side in "ab" for f in features]
+    schema = "seed long, rounds long, cost double, silhouette double, " + ", ".join(f"{c} double" for c in places)
+    return rounded(spark.createDataFrame(rows, schema), ["cost", "silhouette", *places])
+
+
+def _ends_sql(features):
+    places = ", ".join(f"round({side}_{f}, 6) AS {side}_{f}" for side in "ab" for f in features)
+    return f"""
+SELECT e.seed, e.step AS rounds, round(cost, 6) AS cost, round(silhouette, 6) AS silhouette, {places}
+FROM ended e JOIN judged USING (seed)"""
+
+
+GROUP_STARTS = GROUP_WHOLE_TEST + starts_ctes("group_train", GROUP_FEATURES, STARTS)
+
+
+@query(GROUP_STARTS + _ends_sql(GROUP_FEATURES))
+def group_kmeans_starts(spark, sf_dir):
+    """Ten starts advanced together: rounds, cost, silhouette and centres of each, with the model's own parameters."""
+    train, _ = group_splits(spark, sf_dir)
+    return _ends(spark, _from_given(SPECS["group_kmeans"], train)[1], GROUP_FEATURES)
+
+
+@query(GROUP_STARTS + """
+SELECT seed, round(silhouette, 6) AS silhouette, round(max(silhouette) OVER (), 6) AS kept FROM judged""")
 def group_kmeans_seeds(spark, sf_dir):
-    """Ten seeds, their silhouettes, and that of the one kept."""
-    runs = _best_group_kmeans(spark, sf_dir)[1]
+    """Ten seeds from given starts, their silhouettes, and that of the one kept."""
+    runs = _from_given(SPECS["group_kmeans"], group_splits(spark, sf_dir)[0])[1]
     (kept,) = [r.silhouette for r in runs if r.kept]
     rows = [(r.seed, r.silhouette, kept) for r in runs]
     return rounded(
@@ -251,6 +298,33 @@ def group_kmeans_seeds(spark, sf_dir):
     )
 
 
+@query(GROUP_STARTS + """,
+last AS (SELECT * FROM ended ORDER BY seed DESC LIMIT 1),
+cast_votes AS (
+  SELECT p.c, p.label, row_number() OVER (PARTITION BY p.c ORDER BY count(*) DESC, p.label) AS place
+  FROM parted p JOIN last USING (seed) GROUP BY p.c, p.label),
+tested AS (SELECT p.label, CASE WHEN """ + " + ".join(f"(p.{f} - m.a_{f}) ** 2" for f in GROUP_FEATURES) + " <= "
+       + " + ".join(f"(p.{f} - m.b_{f}) ** 2" for f in GROUP_FEATURES) + """ THEN 0 ELSE 1 END AS c FROM group_test p, last m)
+SELECT t.label, CAST(v.label AS DOUBLE) AS prediction, count(*) AS "count"
+FROM tested t JOIN cast_votes v ON t.c = v.c AND v.place = 1 GROUP BY ALL""")
+def group_kmeans_last_seed(spark, sf_dir):
+    """The last seed kept, as a plain loop keeps it, aligned to classes and scored on the second half of the month."""
+    train, test = group_splits(spark, sf_dir)
+    model, _ = _from_given(SPECS["group_kmeans"], train, keep="last")
+    return evaluate(model, test, train).cells
+
+
+CONN_START = ((1, 0.0, 1.0),)
+
+
+@query(CONN_TESTED + "," + index_ctes("conn_train", out="train_x") + ","
+       + starts_ctes("train_x", SPECS["conn_kmeans"].features, CONN_START) + _ends_sql(SPECS["conn_kmeans"].features))
+def conn_kmeans_start(spark, sf_dir):
+    """Connections from one given start, with the model's own rounds and tolerance."""
+    train, _ = conn_splits(spark, sf_dir)
+    return _ends(spark, _from_given(SPECS["conn_kmeans"], train, CONN_START)[1], SPECS["conn_kmeans"].features)
+
+
 @query(GROUP_SILHOUETTE + "SELECT round(silhouette, 6) AS silhouette FROM silhouette")
 def group_kmeans_silhouette(spark, sf_dir):
     """Silhouette of the best of ten seeds."""

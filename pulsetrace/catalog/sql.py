@@ -160,3 +160,54 @@ moved AS (
 centres_found AS (SELECT c, {", ".join(features)} FROM moved WHERE step = {rounds}),
 train_clustered AS ({clustered(train)}),
 test_clustered AS ({clustered(test)})"""
+
+
+def starts_ctes(train: str, features: Sequence[str], starts: Sequence[tuple[int, float, float]], rounds=20, tol=1e-4) -> str:
+    """``ended`` (seed, step, a_*, b_*) and ``judged`` (seed, cost, silhouette): two means from given starts.
+
+    A start (seed, p, q) has its first centres at the shares p and q of the training box; it moves until neither
+    centre goes further than ``tol``, at most ``rounds`` times.
+    """
+    values = ", ".join(f"({seed}, {p!r}, {q!r})" for seed, p, q in starts)
+
+    def gap(side):
+        return " + ".join(f"(p.{f} - m.{side}_{f}) * (p.{f} - m.{side}_{f})" for f in features)
+
+    def step(side, near):
+        return ", ".join(f"coalesce(avg(p.{f}) FILTER ({near}), any_value(m.{side}_{f})) AS new_{side}_{f}" for f in features)
+
+    def far(side):
+        return " + ".join(f"(new_{side}_{f} - {side}_{f}) * (new_{side}_{f} - {side}_{f})" for f in features)
+
+    old = ", ".join(f"any_value(m.{side}_{f}) AS {side}_{f}" for side in "ab" for f in features)
+    new = ", ".join(f"new_{side}_{f}" for side in "ab" for f in features)
+    first = ", ".join(f"lo_{f} + (hi_{f} - lo_{f}) * {share} AS {side}_{f}" for side, share in (("a", "p"), ("b", "q")) for f in features)
+    box = ", ".join(f"CAST(min({f}) AS DOUBLE) AS lo_{f}, CAST(max({f}) AS DOUBLE) AS hi_{f}" for f in features)
+    norm = " + ".join(f"CAST({f} AS DOUBLE) * {f}" for f in features)
+    dot = " + ".join(f"t.{f} * s.m_{f}" for f in features)
+    means = ", ".join(f"avg({f}) AS m_{f}" for f in features)
+    columns = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in features)
+    return f"""
+start_points AS MATERIALIZED (SELECT row_number() OVER () AS id, label, {columns} FROM {train}),
+start_shares(seed, p, q) AS (VALUES {values}),
+box AS (SELECT {box} FROM start_points),
+stepped AS (
+  SELECT CAST(seed AS BIGINT) AS seed, CAST(0 AS BIGINT) AS step, false AS done, {first} FROM box, start_shares
+  UNION ALL
+  SELECT seed, step + 1, {far("a")} <= {tol * tol!r} AND {far("b")} <= {tol * tol!r}, {new} FROM (
+    SELECT m.seed, m.step, {old}, {step("a", f"{gap('a')} <= {gap('b')}")}, {step("b", f"{gap('a')} > {gap('b')}")}
+    FROM start_points p, stepped m WHERE NOT m.done AND m.step < {rounds} GROUP BY m.seed, m.step)),
+ended AS (SELECT * FROM stepped QUALIFY row_number() OVER (PARTITION BY seed ORDER BY step DESC) = 1),
+parted AS MATERIALIZED (
+  SELECT m.seed, p.*, CASE WHEN {gap("a")} <= {gap("b")} THEN 0 ELSE 1 END AS c, least({gap("a")}, {gap("b")}) AS gap, {norm} AS pp
+  FROM start_points p, ended m),
+sides_of AS (SELECT seed, c, count(*) AS n, avg(pp) AS qq, {means} FROM parted GROUP BY seed, c),
+away AS (
+  SELECT t.seed, t.id, max(s.n) FILTER (s.c = t.c) AS n, max(t.pp + s.qq - 2 * ({dot})) FILTER (s.c = t.c) AS own,
+    min(t.pp + s.qq - 2 * ({dot})) FILTER (s.c <> t.c) AS b
+  FROM parted t JOIN sides_of s ON s.seed = t.seed GROUP BY t.seed, t.id),
+judged_away AS (SELECT seed, n, CASE WHEN n > 1 THEN own * n / (n - 1) END AS a, b FROM away),
+judged AS (
+  SELECT seed, (SELECT sum(gap) FROM parted x WHERE x.seed = j.seed) AS cost,
+    avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette
+  FROM judged_away j GROUP BY seed)"""

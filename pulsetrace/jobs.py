@@ -80,9 +80,9 @@ def fit_job(
     spec = replace(SPECS[spec_name].with_params(**(params or {})), max_bins=max_bins)
     train = load_labelled(spark, data, spec.schema, spec.required, fmt)
     if seeds:
-        model, runs = fit_kmeans_seeds(spec, train, seeds, keep, max_driver_labels, rows_per_task)
+        model, runs = fit_kmeans_seeds(spec, train, seeds, keep, max_driver_labels)
         for run in runs:
-            print(f"seed {run.seed} silhouette {run.silhouette}{' kept' if run.kept else ''}")
+            print(f"seed {run.seed} cost {run.cost} silhouette {run.silhouette}{' kept' if run.kept else ''}")
     else:
         model = fit(spec, train, max_driver_labels, rows_per_task)
     return store.save(model, models)

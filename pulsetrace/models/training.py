@@ -5,7 +5,7 @@ optional one-hot and scaling, estimator. Estimators that pass over the rows
 many times keep their own working copy, so nothing is cached here for them.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -17,14 +17,16 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.clusters import align_clusters, cluster_label_map, silhouette
+from ..operators.clusters import align_clusters, cluster_label_map
 from ..operators.indexing import MAX_DRIVER_LABELS, CategoryIndex, IndexTable, fit_index
 from ..operators.rows import drop_null_rows
 from ..sources.layout import ROWS_PER_TASK, stable_layout
 from . import specs
 from .specs import ModelSpec
+from .starts import MAX_ITER, TOL, Centres, Start, first_centres, fit_starts, weighted_points
 
 ESTIMATORS = {
     specs.KMEANS: KMeans,
@@ -144,9 +146,7 @@ def fit(
 
 
 @dataclass
-class SeedRun:
-    seed: int
-    silhouette: float | None
+class SeedRun(Start):
     kept: bool = False
 
 
@@ -156,33 +156,44 @@ def fit_kmeans_seeds(
     seeds: Sequence[int],
     keep: str = "best",
     max_driver_labels: int | None = MAX_DRIVER_LABELS,
-    rows_per_task: int = ROWS_PER_TASK,
+    starts: Mapping[int, Centres] | None = None,
 ) -> tuple[FittedModel, list[SeedRun]]:
-    """One k-means per seed; keep the best silhouette, or the last as a plain loop would.
+    """k-means from every seed, all at once; keep the best silhouette, or the last as a plain loop would.
 
-    The vectors are read by every fit and every silhouette, so they are kept in
-    memory and on disk for the time of the loop.
+    ``starts`` gives the first centres of each seed in place of those that the seed would choose.
     """
-    rows = laid_out(spec, train, rows_per_task)
+    params = {"k": 2, "maxIter": MAX_ITER, "tol": TOL, "initMode": "k-means||", **spec.params}
+    if params.get("distanceMeasure", "euclidean") != "euclidean":
+        raise ValueError("several starts at once are for Euclidean distances")
+    names = [*spec.categories, *spec.numbers]
+    rows = training_rows(spec, train).select(*names)
     features = fit_features(spec, rows, max_driver_labels)
-    vectors = _vectors(spec, features, rows).persist()
-    kept, runs = None, []
-    try:
-        for seed in seeds:
-            model = _estimator(spec.with_params(seed=seed), features).fit(vectors)
-            runs.append(SeedRun(seed, silhouette(model.transform(vectors))))
-            if kept is None or keep == "last" or _better(runs[-1], runs[kept[0]]):
-                kept = (len(runs) - 1, model)
-    finally:
-        vectors.unpersist()
-    runs[kept[0]].kept = True
-    stages = [*features.pipeline.stages, kept[1]]
-    return FittedModel(spec, PipelineModel(stages), features.tables), runs
+    points = weighted_points(_vectors(spec, features, rows))
+    if starts is None:
+        starts = first_centres(points, seeds, params["k"], far=params["initMode"] != "random")
+    found = fit_starts(points, {s: starts[s] for s in seeds}, params["maxIter"], params["tol"])
+    runs = [SeedRun(**vars(f)) for f in found]
+    kept = runs[0]
+    for run in runs[1:]:
+        if keep == "last" or _better(run, kept):
+            kept = run
+    kept.kept = True
+    model = _from_centres(spec.with_params(seed=kept.seed), features, kept.centres)
+    return FittedModel(spec, PipelineModel([*features.pipeline.stages, model]), features.tables), runs
+
+
+def _from_centres(spec: ModelSpec, features: FittedModel, centres: Centres):
+    """MLlib's model of these centres: a fit to them alone, each the only row of its cluster."""
+    distinct = [list(c) for c in dict.fromkeys(map(tuple, centres))]
+    rows = SparkSession.active().createDataFrame([(Vectors.dense(c),) for c in distinct], ["features"])
+    own = spec.with_params(initMode="random", maxIter=1, k=max(2, len(distinct)), solver="row")
+    return _estimator(own, features).fit(rows.coalesce(1))
 
 
 def _better(run: SeedRun, other: SeedRun) -> bool:
+    """Whether ``run`` separates better; the earlier seed counts where rounding alone tells them apart."""
     return run.silhouette is not None and (
-        other.silhouette is None or run.silhouette > other.silhouette
+        other.silhouette is None or run.silhouette > other.silhouette + 1e-9
     )
 
 
