@@ -33,6 +33,7 @@ def all_sql() -> dict[str, str]:
 
 def _load():
     from . import (  # noqa: F401
+        capture_queries,
         evaluation_queries,
         feature_queries,
         label_queries,

@@ -41,8 +41,8 @@ WIDE_LINE = "(orig_pkts = 2 AND resp_pkts = 7)"
 EXTRA_BYTES = 90_000_000_000
 
 
-def conn_text_fields(conns: DataFrame) -> DataFrame:
-    """All 21 log fields of every connection as text."""
+def conn_text_fields(conns: DataFrame, *more: str) -> DataFrame:
+    """All 21 log fields of every connection as text, and the columns ``more`` as they are."""
     bytes_text = (
         F.when(F.expr(UNSET_BYTES), "-")
         .when(F.expr(LONG_TRANSFER), (F.col("orig_bytes") + EXTRA_BYTES).cast("string"))
@@ -64,6 +64,7 @@ def conn_text_fields(conns: DataFrame) -> DataFrame:
         ],
         F.expr(SHORT_LINE).alias("short"),
         F.expr(WIDE_LINE).alias("wide"),
+        *more,
     )
 
 
