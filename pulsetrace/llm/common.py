@@ -58,6 +58,31 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str, partition: str | None = None) -> tuple[DataFrame, str]:
+    """Like ``written``, with the folder; the shuffle files behind ``df`` go when the table is complete.
+
+    ``partition`` names the last column, whose values get folders of their own.
+    """
+    spark = df.sparkSession
+    path, before = new_scratch(spark, name), spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before) if before is not None else spark.conf.unset(_TIDY)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``settled`` wrote; for one whose successor is complete."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(docs: DataFrame, name: str = "doc") -> DataFrame:
     """``docs`` with a number of its own for every row, in the order of ids.
 

@@ -1,7 +1,7 @@
 """Frequent phrases of every language by set-oriented mining over sorted occurrence relations.
 
-An occurrence relation has one row per document: the places of its occurrences in ascending order and
-the group of words at each. Places go on by one inside a piece and skip one between pieces, so two
+An occurrence relation has one row per document: the places of its occurrences in ascending order (32-bit
+numbers side by side), the words there (blanks between them), and marks where a known group starts. Places go on by one inside a piece and skip one between pieces, so two
 occurrences are neighbours in a piece exactly if their places follow one another, and the merge-join
 of a relation with itself on piece and adjacent place is one pass over a sorted row.
 
@@ -10,8 +10,7 @@ frequent stay (semi-join), neighbours are joined to phrases of two words, counte
 kept and written as the next relation, and so on. Every task adds up its own groups, with exact
 codes for its words, before anything is shuffled: a hot word or pair is one row per task.
 
-The semi-join asks a bitmap of ``FILTER_BITS`` bits, whose size does not grow with the input, by the
-groups' hashes. It lets every frequent group pass and now and then a rare one, which the next exact count then
+The semi-join asks a bitmap of the groups' hashes, whose size does not grow with the input. It lets every frequent group pass and now and then a rare one, which the next exact count then
 drops: a smaller share pruned costs work, never a row. Counts, parts and scores are exact; groups are told
 apart by their words, not by hashes.
 
@@ -21,6 +20,7 @@ a candidate has no rows; an empty table gives none; other columns are ignored. T
 """
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, written
+from .bits import among, bitmap
+from .common import batch_rows, discard, settled
 
 LEAST = 10
 LONGEST = 3
@@ -37,8 +38,8 @@ PER_LANGUAGE = 2000
 SCALE = 1_000_000
 COVERED = 50  # hundredths of a phrase's count that a longer one must have to take its place
 UNNAMED = "und"
-FILTER_BITS = 1 << 26
-_HELD = 1 << 20  # occurrences a task takes before it adds them up
+_HELD = 1 << 19  # occurrences a task takes before it adds them up
+_SENT = 1 << 16  # groups in a batch that it sends
 
 # What ends a piece, and the letters A-Z.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -47,8 +48,8 @@ _FOLD = bytes(
     _MARK[0] if c in _ENDS else 32 if c in b" \t" else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 
-RELATION = "lang string, at array<int>, word array<string>, start array<boolean>"
-GROUPS = "lang string, words array<string>, n long, hash long"
+RELATION = "lang string, at binary, word string, start binary"
+GROUPS = "lang string, phrase string, n long"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -78,16 +79,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(named, "text").mapInArrow(rows, RELATION)
 
 
+def _blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of ``sizes`` consecutive values each, as binary."""
+    offsets = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    parts = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), parts)
+
+
+def _values(blobs: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind)
+
+
 def _relation(langs: pa.Array, row: np.ndarray, at: np.ndarray, words: pa.Array, start: np.ndarray) -> pa.RecordBatch:
     """Rows with occurrences, from flat columns; ``row`` is the place in ``langs``, ascending."""
     sizes = np.bincount(row, minlength=len(langs))
     some = np.flatnonzero(sizes)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32))
+    sizes = sizes[some]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), words)
     return pa.RecordBatch.from_arrays([
-        langs.take(pa.array(some)),
-        pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
-        pa.ListArray.from_arrays(offsets, words.cast(pa.string())),
-        pa.ListArray.from_arrays(offsets, pa.array(start)),
+        langs.take(pa.array(some)), _blobs(at.astype(np.int32), sizes),
+        pc.binary_join(lists.cast(pa.list_(pa.string())), " "), _blobs(start.astype(np.uint8), sizes),
     ], ["lang", "at", "word", "start"])
 
 
@@ -97,6 +108,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _hashes(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of groups from those of their language and their words."""
+    h = langs
+    for word in words:
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + word)
+    return h
+
+
+def _names_hashed(names: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)
+
+
 class Rows:
     """Some rows of a relation, flat, with codes for languages and words.
 
@@ -104,17 +127,23 @@ class Rows:
     """
 
     def __init__(self, batch: pa.RecordBatch):
-        lists = batch.column("word")
+        lists = pc.split_pattern(batch.column("word"), " ")
         flat = pc.dictionary_encode(lists.flatten())
         self.words, self.word = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
-        self.at = batch.column("at").flatten().to_numpy()
-        self.start = batch.column("start").flatten().to_numpy(zero_copy_only=False)
+        self.at = _values(batch.column("at"), np.int32)
+        self.start = _values(batch.column("start"), np.uint8).astype(bool)
         self.row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
         langs = pc.dictionary_encode(batch.column("lang"))
         self.langs, self.lang_of_row = langs.dictionary, langs.indices.to_numpy().astype(np.int64)
         self.lang = self.lang_of_row[self.row]
-        self.lang_hash = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
-        self.word_hash = np.array([xxhash.xxh64_intdigest(x) for x in self.words.to_pylist()], np.uint64)
+
+    @cached_property
+    def lang_hash(self) -> np.ndarray:
+        return _names_hashed(self.langs)
+
+    @cached_property
+    def word_hash(self) -> np.ndarray:
+        return _names_hashed(self.words)
 
     def joined(self, length: int) -> np.ndarray:
         """Starts of phrases of ``length`` words: known shorter ones that begin at adjacent places of a piece."""
@@ -125,13 +154,10 @@ class Rows:
         return np.flatnonzero(near & self.start[one] & self.start[other])
 
     def hashes(self, start: np.ndarray, length: int) -> np.ndarray:
-        h = self.lang_hash[self.lang[start]]
-        for k in range(length):
-            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + self.word_hash[self.word[start + k]])
-        return h
+        return _hashes(self.lang_hash[self.lang[start]], [self.word_hash[self.word[start + k]] for k in range(length)])
 
     def groups(self, start: np.ndarray, length: int) -> pa.RecordBatch:
-        """(lang, words, n, hash) of the groups that start there, each once."""
+        """(lang, phrase, n) of the groups that start there, each once."""
         codes = [self.lang[start], *(self.word[start + k] for k in range(length))]
         order = np.lexsort(codes[::-1])
         codes = [c[order] for c in codes]
@@ -140,14 +166,9 @@ class Rows:
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(order)))
-        chosen = np.stack([c[first] for c in codes[1:]], axis=1).ravel()
-        offsets = pa.array((np.arange(len(first) + 1) * length).astype(np.int32))
-        return pa.RecordBatch.from_arrays([
-            self.langs.take(pa.array(codes[0][first])),
-            pa.ListArray.from_arrays(offsets, self.words.take(pa.array(chosen))),
-            pa.array(n.astype(np.int64)),
-            pa.array(self.hashes(start[order[first]], length).view(np.int64)),
-        ], ["lang", "words", "n", "hash"])
+        lang, *words = (d.take(pa.array(c[first])) for d, c in zip((self.langs, *[self.words] * length), codes))
+        phrase = pc.binary_join_element_wise(*words, " ") if length > 1 else words[0]
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
@@ -155,7 +176,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += len(batch.column("word").flatten())
+        size += pc.sum(pc.binary_length(batch.column("start"))).as_py() or 0
         if size >= _HELD:
             yield Rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
             held, size = [], 0
@@ -164,42 +185,41 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
 
 
 def _count(relation: DataFrame, length: int) -> DataFrame:
-    """(lang, words, n, hash) of the phrases of ``length`` words, with their exact counts."""
+    """(lang, phrase, n) of the phrases of ``length`` words, with their exact counts."""
 
     def rows(batches: Iterable[pa.RecordBatch]):
         for block in _blocks(batches):
-            yield block.groups(block.joined(length), length)
+            yield from batch_rows([block.groups(block.joined(length), length)], _SENT)
 
-    found = relation.mapInArrow(rows, GROUPS)
-    return found.groupBy("lang", "words").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
+    # A block sends a group once, so another combine in the map task would find little to do and hold much.
+    dealt = relation.mapInArrow(rows, GROUPS).repartition("lang", "phrase")
+    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def bitmap(groups: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bits set at the groups' hashes; at most ``bits`` / 64 numbers reach the driver."""
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    found = groups.groupBy(F.shiftright(place, 6).cast("int").alias("i")).agg(F.bit_or(bit).alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[found.column("i").to_numpy()] = found.column("b").to_numpy()
-    return out.view(np.uint64)
+def _groups_hashed(length: int):
+    """Hashes of a batch of groups (lang, phrase) of ``length`` words."""
 
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        langs = pc.dictionary_encode(batch.column("lang"))
+        words = pc.dictionary_encode(pc.split_pattern(batch.column("phrase"), " ").flatten())
+        known = _names_hashed(words.dictionary)[words.indices.to_numpy()].reshape(-1, length)
+        return _hashes(_names_hashed(langs.dictionary)[langs.indices.to_numpy()], list(known.T))
 
-def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(64 * len(table) - 1)
-    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hashes
 
 
 def frequent_occurrences(relation: DataFrame, groups: DataFrame, length: int) -> DataFrame:
-    """The relation of phrases of ``length`` words that are among ``groups``, written.
+    """The relation of phrases of ``length`` words that are among ``groups``.
 
     Rows keep the words that such a phrase covers, at their places, and mark where one starts.
     """
-    sent = relation.sparkSession.sparkContext.broadcast(bitmap(groups))
+    known = bitmap(groups.select("lang", "phrase"), _groups_hashed(length))
+    sent = relation.sparkSession.sparkContext.broadcast(known)
 
     def rows(batches: Iterable[pa.RecordBatch]):
         for block in _blocks(batches):
             found = block.joined(length)
-            found = found[_known(sent.value, block.hashes(found, length))]
+            found = found[among(sent.value, block.hashes(found, length))]
             start = np.zeros(len(block.word), bool)
             start[found] = True
             stays = np.zeros(len(block.word), bool)
@@ -209,21 +229,25 @@ def frequent_occurrences(relation: DataFrame, groups: DataFrame, length: int) ->
             words = block.words.take(pa.array(block.word[stays]))
             yield _relation(langs, block.row[stays], block.at[stays], words, start[stays])
 
-    return written(relation.mapInArrow(rows, RELATION), "occurrences")
+    return relation.mapInArrow(rows, RELATION)
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
-    """For each length from 1 to ``longest``: (lang, words, n) of the phrases that occur ``least`` times.
+    """For each length from 1 to ``longest``: (lang, phrase, n) of the phrases that occur ``least`` times.
 
     The first has all words, because their counts also add up to the words of a language.
     """
-    relation = written(occurrences(docs), "occurrences")
+    relation, path = settled(occurrences(docs), "occurrences")
     counted = []
     for length in range(1, longest + 1):
         if length > 1:
-            relation = frequent_occurrences(relation, counted[-1].where(F.col("n") >= least), length - 1)
+            known = counted[-1].where(F.col("n") >= least)
+            pruned, new = settled(frequent_occurrences(relation, known, length - 1), "occurrences")
+            discard(docs.sparkSession, path)
+            relation, path = pruned, new
         groups = _count(relation, length)
-        counted.append(written(groups if length == 1 else groups.where(F.col("n") >= least), "groups"))
+        counted.append(settled(groups if length == 1 else groups.where(F.col("n") >= least), "groups")[0])
+    discard(docs.sparkSession, path)
     return counted
 
 
@@ -235,12 +259,20 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top, under)
 
 
+def _part(words: Column, first: int, size: int) -> Column:
+    """``size`` of the words from place ``first`` on, as a phrase."""
+    return F.concat_ws(" ", F.slice(words, first, size))
+
+
 def _scored(phrases: DataFrame, counted: list[DataFrame], length: int) -> DataFrame:
-    """(lang, words, a, l, r, score) by the cut with the lowest score, the earliest on a tie."""
-    rows = phrases.select("lang", "words", F.col("n").alias("a"))
+    """(lang, phrase, a, l, r, score) by the cut with the lowest score, the earliest on a tie."""
+    words = F.split("phrase", " ")
+    rows = phrases.select("lang", "phrase", F.col("n").alias("a"))
     for k in range(1, length):
-        for name, part, of in ((f"l{k}", F.slice("words", 1, k), k), (f"r{k}", F.slice("words", k + 1, length - k), length - k)):
-            counts = counted[of - 1].select("lang", F.col("words").alias("part"), F.col("n").alias(name))
+        for name, part, of in (
+            (f"l{k}", _part(words, 1, k), k), (f"r{k}", _part(words, k + 1, length - k), length - k)
+        ):
+            counts = counted[of - 1].select("lang", F.col("phrase").alias("part"), F.col("n").alias(name))
             rows = rows.withColumn("part", part).join(counts, ["lang", "part"]).drop("part")
     cuts = F.array(*[
         F.struct(
@@ -248,19 +280,19 @@ def _scored(phrases: DataFrame, counted: list[DataFrame], length: int) -> DataFr
             F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"),
         ) for k in range(1, length)
     ])
-    return rows.select("lang", "words", "a", F.array_min(cuts).alias("cut")).select(
-        "lang", "words", "a", "cut.l", "cut.r", "cut.score"
+    return rows.select("lang", "phrase", "a", F.array_min(cuts).alias("cut")).select(
+        "lang", "phrase", "a", "cut.l", "cut.r", "cut.score"
     )
 
 
 def _longer(counted: list[DataFrame], length: int) -> DataFrame:
-    """(lang, words, most): for phrases of ``length`` words, the count of the most frequent longer one around them."""
+    """(lang, phrase, most): for phrases of ``length`` words, the count of the most frequent longer one around them."""
     parts = None
     for more in range(length + 1, len(counted) + 1):
-        inside = F.array(*[F.slice("words", k, length) for k in range(1, more - length + 2)])
-        found = counted[more - 1].select("lang", F.explode(inside).alias("words"), "n")
+        inside = F.array(*[_part(F.split("phrase", " "), k, length) for k in range(1, more - length + 2)])
+        found = counted[more - 1].select("lang", F.explode(inside).alias("phrase"), "n")
         parts = found if parts is None else parts.union(found)
-    return parts.groupBy("lang", "words").agg(F.max("n").alias("most"))
+    return parts.groupBy("lang", "phrase").agg(F.max("n").alias("most"))
 
 
 def collocations(
@@ -274,12 +306,11 @@ def collocations(
     for length in range(2, longest + 1):
         rows = _scored(counted[length - 1], counted, length)
         if length < longest:
-            rows = rows.join(_longer(counted, length), ["lang", "words"], "left")
+            rows = rows.join(_longer(counted, length), ["lang", "phrase"], "left")
             rows = rows.where(F.coalesce(100 * F.col("most") < COVERED * F.col("a"), F.lit(True))).drop("most")
         found = rows if found is None else found.unionByName(rows)
-    named = found.withColumn("phrase", F.concat_ws(" ", "words")).drop("words")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_language)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_language)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
