@@ -10,11 +10,17 @@ A batch of documents becomes an array of entries sorted by key, context and plac
 with the arrays of the existing levels in one scan: the first entry of a context stays, the windows
 of the later ones are repeats. Where a key has several contexts, the contexts themselves are read back
 from the texts and compared window by window. After a batch its array is a level of its own; before
-the next one, levels of equal size are merged, so ``n`` batches leave about log2(n) levels.
+the next one, levels of equal size are merged, so ``n`` batches leave about log2(n) levels. Only those
+entries of a level come to a scan whose key a bitmap of the new batch's keys does not rule out.
+
+Arrays are in the order of the hash of a suffix's first ``GRAM`` bytes, not of the bytes: matches ask which suffixes
+begin alike, never which is the lesser, and the order of bytes would send some hundred bytes per entry
+through every sort. Equal keys and contexts, 128 bits together, count as equal bytes.
 
 Entries of one map task are combined before the shuffle: of equal contexts only the first is
 sent, so a passage in a third of all documents sends one entry per task. A key with more than
-``GROUP`` contexts is not gathered; its windows become entries of their own and take the same scan.
+``GROUP`` contexts is not gathered; its windows become entries of their own, combined in the same way, and
+take the same scan. Each table goes when the one made from it is complete, and shuffle files go with it.
 
 Defined cases: null text counts as empty; texts shorter than ``MATCH`` keep all bytes; of repeated
 rows the first stays; rows that share an id, and null ids (after all others), are ordered by text
@@ -29,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_rows, numbered, written
+from .bits import among, bitmap
+from .common import arrow_schema, batch_rows, discard, numbered, settled
 
 MATCH = 100
 GRAM = 32
 GROUP = 2048
-BATCHES = 2
+BATCHES = 4
 _ENTRIES = 1 << 20  # entries a task holds before it combines them
 _BLOCK = 1 << 16
 
@@ -107,14 +114,15 @@ def _batch(kind: int, rows: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _combine(parts: list[list[np.ndarray]]):
-    """First entry per (key, context) of a task's entries, and the windows of the others."""
-    key, context, doc, at, more = (np.concatenate(c) for c in zip(*parts))
+    """First entry per (key, context) of a task's entries, and the windows of the other fresh ones."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    key, context, doc, at = columns[:4]
     order = np.lexsort((at, doc, context, key))
-    key, context, doc, at, more = (c[order] for c in (key, context, doc, at, more))
+    columns = [c[order] for c in columns]
+    key, context, fresh = columns[0], columns[1], columns[5]
     first = np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
-    fresh = np.ones(len(key), bool)
-    for kind, chosen in ((3, first), (0, ~first)):
-        yield _batch(kind, [c[chosen] for c in (key, context, doc, at, more, fresh)])
+    for kind, chosen in ((3, first), (0, ~first & fresh)):
+        yield _batch(kind, [c[chosen] for c in columns])
 
 
 def _array(docs: DataFrame) -> DataFrame:
@@ -126,7 +134,8 @@ def _array(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 key, context, at, more = entries((text or "").encode("utf-8", "surrogatepass"))
                 if len(key):
-                    parts.append([key.view(np.int64), context.view(np.int64), np.full(len(key), doc), at, more])
+                    parts.append([key.view(np.int64), context.view(np.int64), np.full(len(key), doc), at, more,
+                                  np.ones(len(key), bool)])
                     held += len(key)
             if held > _ENTRIES:
                 yield from _combine(parts)
@@ -225,10 +234,25 @@ def _compare(contexts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(rows, "doc long, at int, more int")
 
 
+def _hashed_docs(batch: pa.RecordBatch) -> np.ndarray:
+    return _mix(batch.column("doc").to_numpy().astype(np.uint64))
+
+
 def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """``wanted`` (kind, key, doc, at, more, fresh) with the bytes that their windows cover."""
+    """``wanted`` (kind, key, doc, at, more, fresh) with the bytes that their windows cover.
+
+    Texts that no wanted place lies in are left out before the shuffle. A document's places
+    meet in one row, as its text does; there are fewer of them than bytes in it.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select("doc"), _hashed_docs))
+
+    def asked(batches):
+        for batch in batch_rows(batches, 128):
+            yield batch.filter(pa.array(among(sent.value, _hashed_docs(batch))))
+
     places = wanted.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "at", "more", "fresh")).alias("p"))
-    joined = texts.join(places, "doc").select("doc", "text", "p")
+    some = texts.select("doc", "text").mapInArrow(asked, "doc long, text string")
+    joined = some.join(places, "doc").select("doc", "text", "p")
 
     def cut(batches):
         names = ["kind", "key", "doc", "at", "more", "fresh", "bytes"]
@@ -250,66 +274,105 @@ def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _windows(contexts: DataFrame) -> DataFrame:
-    """Every window of ``contexts`` as an entry of its own, its 128-bit hash as key and context."""
+    """Every window of ``contexts`` as an entry of its own, its 128-bit hash as key and context.
+
+    Of a task's equal windows the first is sent on; the later fresh ones are repeats at once.
+    """
 
     def rows(batches):
+        parts, held = [], 0
         for batch in batch_rows(batches):
-            parts, fresh_of = [], []
             for doc, at, more, fresh, raw in zip(
                 *(batch.column(c).to_pylist() for c in ("doc", "at", "more", "fresh", "bytes"))
             ):
                 n = more + 1
                 digest = b"".join(xxhash.xxh3_128_digest(raw[k : k + MATCH]) for k in range(n))
                 pair = np.frombuffer(digest, np.int64).reshape(n, 2)
-                parts.append([pair[:, 0], pair[:, 1], np.full(n, doc), at + np.arange(n), np.zeros(n, np.int64)])
-                fresh_of.append(np.full(n, fresh))
-            if parts:
-                yield _batch(3, [*(np.concatenate(c) for c in zip(*parts)), np.concatenate(fresh_of)])
+                parts.append([pair[:, 0], pair[:, 1], np.full(n, doc), at + np.arange(n), np.zeros(n, np.int64),
+                              np.full(n, fresh)])
+                held += n
+            if held > _ENTRIES:
+                yield from _combine(parts)
+                parts, held = [], 0
+        if parts:
+            yield from _combine(parts)
 
     return contexts.mapInArrow(rows, SCANNED)
 
 
+def _hashed_keys(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("key").to_numpy().view(np.uint64)
+
+
 class SuffixFamily:
     """Levels of sorted entries; ``add`` finds what a new batch repeats and makes it a level."""
 
     def __init__(self, spark: SparkSession, group: int = GROUP):
         self.spark, self.group = spark, group
-        self.levels: list[tuple[int, DataFrame]] = []  # (batches merged, entries)
+        self.levels: list[tuple[int, DataFrame, str]] = []  # (batches merged, entries, folder)
         self.texts: DataFrame | None = None
 
     def _settle(self):
         """Merge levels of equal size, smallest first."""
         self.levels.sort(key=lambda level: level[0])
         while len(self.levels) > 1 and self.levels[0][0] == self.levels[1][0]:
-            (a, one), (b, other) = self.levels[:2]
+            (a, one, at), (b, other, other_at) = self.levels[:2]
             both = one.unionByName(other).repartition("key").sortWithinPartitions("key", "context", "doc", "at")
-            self.levels[:2] = [(a + b, written(both, "level"))]
+            merged = settled(both, "level")
+            self.levels[:2] = [(a + b, *merged)]
+            for path in (at, other_at):
+                discard(self.spark, path)
             self.levels.sort(key=lambda level: level[0])
 
+    def _old(self, array: DataFrame) -> list[DataFrame]:
+        """Entries of the levels whose key may be in ``array``."""
+        if not self.levels:
+            return []
+        sent = self.spark.sparkContext.broadcast(bitmap(array.where("kind = 3").select("key"), _hashed_keys))
+
+        def met(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(among(sent.value, _hashed_keys(batch))))
+
+        names = [F.lit(3).alias("kind"), "key", "context", "doc", "at", "more", F.lit(False).alias("fresh")]
+        return [
+            level.mapInArrow(met, "key long, context long, doc long, at int, more int").select(*names)
+            for _, level, _ in self.levels
+        ]
+
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """(doc, at, more): windows of (doc, text) that start earlier too, as runs of starts.
+        """(doc, at, more): windows of (doc, text) that start earlier too, as runs of starts; written.
 
         The ids of a batch lie above those of all batches before it. ``keep=False`` for a batch
         after which none follows: its array is not stored.
         """
         self._settle()
         self.texts = docs if self.texts is None else self.texts.unionByName(docs)
-        array = _array(docs)
-        for _, level in self.levels:
-            old = level.select(F.lit(3).alias("kind"), "key", "context", "doc", "at", "more", F.lit(False).alias("fresh"))
-            array = array.unionByName(old)
-        scanned = _scan(array, self.group)
+        array, array_at = settled(_array(docs), "array")
+        met = array
+        for old in self._old(array):
+            met = met.unionByName(old)
+        scanned = _scan(met, self.group)
         if not keep:
             scanned = scanned.where("kind <> 3")
-        scanned = written(scanned, "scanned")
+        # Entries to keep and the others lie in folders of their own, so that these can go first.
+        scanned, path = settled(scanned.withColumn("stays", F.col("kind") == 3), "scanned", partition="stays")
+        discard(self.spark, array_at)
         if keep:
-            self.levels.append((1, scanned.where("kind = 3").select("key", "context", "doc", "at", "more")))
-        contexts = _contexts(scanned.where("kind IN (1, 2)"), self.texts)
-        contexts = written(contexts, "contexts")
+            self.levels.append((1, scanned.where("stays").select("key", "context", "doc", "at", "more"), path))
+        rest = scanned.where("NOT stays")
+        contexts, contexts_at = settled(_contexts(rest.where("kind IN (1, 2)"), self.texts), "contexts")
         few = _compare(contexts.where("kind = 1").drop("kind"))
         many = _scan(_windows(contexts.where("kind = 2")), self.group).where("kind = 0")
         runs = ["doc", "at", "more"]
-        return scanned.where("kind = 0").select(runs).unionByName(few).unionByName(many.select(runs))
+        found = rest.where("kind = 0").select(runs).unionByName(few).unionByName(many.select(runs))
+        found, _ = settled(found, "repeats")
+        discard(self.spark, contexts_at)
+        if keep:
+            discard(self.spark, f"{path}/stays=false")
+        else:
+            discard(self.spark, path)
+        return found
 
 
 def spans(starts: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
