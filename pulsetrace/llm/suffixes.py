@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_BASE, _BLOCK + MATCH), _powers(_INVERSE, _BLOCK + MATCH)
+_UP, _DOWN = _powers(_BASE, 1 << 17), _powers(_INVERSE, 1 << 17)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,6 +67,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _gram_hashes(x: np.ndarray) -> np.ndarray:
+    """Hash of every gram, in order: ``_hashes`` of all of them with slices for places."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTES[0][x] * _UP[: len(x)], out=sums[1:])
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= _DOWN[: len(h)]
+    h += np.uint64(GRAM)
+    for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def _hashes(x: np.ndarray, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of ``x[start:stop]`` for each pair, from running sums over a block of bytes."""
     sums = np.zeros(len(x) + 1, np.uint64)
@@ -73,6 +88,29 @@ def _hashes(x: np.ndarray, which: int, start: np.ndarray, stop: np.ndarray) -> n
     return _mix((sums[stop] - sums[start]) * _DOWN[start] + (stop - start).astype(np.uint64))
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours: running minima inside blocks, from both sides."""
+    n = len(values) - width + 1
+    blocks = -(-len(values) // width)
+    padded = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    grid = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = np.minimum.accumulate(grid, axis=1).ravel()
+    return np.minimum(ahead[:n], behind[width - 1 : width - 1 + n])
+
+
+_PLACE = np.uint64((1 << 17) - 1)  # places in a block of windows, the low bits beside a hash
+_PLACES = np.arange(1 << 17, dtype=np.uint64)
+
+
+def _named(h: np.ndarray) -> np.ndarray:
+    """The place that each window names, from the hashes of all grams."""
+    least = _least((h & ~_PLACE) | _PLACES[: len(h)], MATCH - GRAM + 1)
+    least &= _PLACE
+    return least.view(np.int64)
+
+
 def entries(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, context, first window, further windows) of the suffixes that a text's windows name.
 
@@ -84,11 +122,8 @@ def entries(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     out = []
     for at in range(0, len(whole) - MATCH + 1, _BLOCK):
         x = whole[at : at + _BLOCK + MATCH - 1]
-        grams = np.arange(len(x) - GRAM + 1)
-        h = _hashes(x, 0, grams, grams + GRAM)
-        high = (h >> np.uint64(32)).astype(np.uint32)
-        named = np.lib.stride_tricks.sliding_window_view(high, MATCH - GRAM + 1).argmin(axis=1)
-        named += np.arange(len(named))
+        h = _gram_hashes(x)
+        named = _named(h)
         first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
         last = np.append(first[1:], len(named)) - 1
         out.append((h[named[first]], _hashes(x, 1, first, last + MATCH), first + at, last - first))
@@ -98,6 +133,60 @@ def entries(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+_CHUNK = 1 << 16  # bytes of texts side by side
+
+
+def entries_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(number of the text, key, context, first window, further windows) for several texts.
+
+    Short texts are taken side by side, which spares work per text and changes no entry: hashes do not depend on
+    places, and windows across a border between texts are left out.
+    """
+    out, chunk, size = [], [], 0
+
+    def together():
+        sizes = np.array([len(texts[i]) for i in chunk])
+        x = np.frombuffer(b"".join(texts[i] for i in chunk), np.uint8)
+        start = np.cumsum(sizes) - sizes
+        h = _gram_hashes(x)
+        named = _named(h)
+        windows = sizes - MATCH + 1
+        text = np.repeat(np.arange(len(chunk)), windows)
+        at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = at + start[text]
+        named = named[place]
+        new = np.ones(len(place), bool)
+        new[1:] = (named[1:] != named[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place)) - 1
+        out.append((
+            np.array(chunk)[text[first]], h[named[first]], _hashes(x, 1, place[first], place[last] + MATCH), at[first], last - first
+        ))
+
+    for i, text in enumerate(texts):
+        if len(text) < MATCH:
+            continue
+        if len(text) > _BLOCK:
+            found = entries(text)
+            out.append((np.full(len(found[0]), i), *found))
+            continue
+        if chunk and size + len(text) > _CHUNK:
+            together()
+            chunk, size = [], 0
+        chunk.append(i)
+        size += len(text)
+    if chunk:
+        together()
+    if not out:
+        empty = np.empty(0, np.int64)
+        return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _raw(texts: pa.Array) -> list[bytes]:
+    return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
+
+
 ENTRY = "key long, context long, doc long, at int, more int, fresh boolean"
 ENTRY_NAMES = ["key", "context", "doc", "at", "more", "fresh"]
 #: kind 0: repeated windows; 1: a context to compare, key of few contexts; 2: the same, of many; 3: an entry to keep.
@@ -131,12 +220,11 @@ def _array(docs: DataFrame) -> DataFrame:
     def rows(batches):
         parts, held = [], 0
         for batch in batch_rows(batches):
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                key, context, at, more = entries((text or "").encode("utf-8", "surrogatepass"))
-                if len(key):
-                    parts.append([key.view(np.int64), context.view(np.int64), np.full(len(key), doc), at, more,
-                                  np.ones(len(key), bool)])
-                    held += len(key)
+            number, key, context, at, more = entries_of(_raw(batch.column("text")))
+            if len(key):
+                doc = batch.column("doc").to_numpy()[number]
+                parts.append([key.view(np.int64), context.view(np.int64), doc, at, more, np.ones(len(key), bool)])
+                held += len(key)
             if held > _ENTRIES:
                 yield from _combine(parts)
                 parts, held = [], 0
@@ -375,15 +463,19 @@ class SuffixFamily:
         return found
 
 
-def spans(starts: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
-    """Maximal removed runs (start, end) of bytes under windows that start in the given runs."""
+def spans(owner: np.ndarray, starts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of the maximal removed runs under windows that start in the given runs of places."""
     if not len(starts):
-        return np.empty((0, 2), np.int64)
-    order = np.argsort(starts, kind="stable")
-    start, stop = starts[order], (starts + more + MATCH)[order]
-    stop = np.maximum.accumulate(stop)
-    new = np.concatenate([[True], start[1:] > stop[:-1]])
-    return np.stack([start[new], np.append(stop[np.flatnonzero(new)[1:] - 1], stop[-1])], axis=1)
+        return owner, starts, starts
+    order = np.lexsort((starts, owner))
+    owner, start, stop = owner[order], starts[order], (starts + more + MATCH)[order]
+    shift = owner * (int(stop.max()) + 1)  # texts one after another, a place apart
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] + shift[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return owner[first], start[first], (reach - shift)[last]
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -417,13 +509,19 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, group: int = GROUP,
     def cut(batches):
         for batch in batch_rows(batches, 128):
             out = [[] for _ in schema]
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs"))):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                at = np.array([r["at"] for r in found or ()], np.int64)
-                gone = spans(at, np.array([r["more"] for r in found or ()], np.int64), len(raw))
-                edges = [0, *gone.ravel().tolist(), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = (doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+            found = batch.column("runs")
+            number = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+            at, more = (found.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+            owner, start, end = spans(number, at, more)
+            edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            gone = np.stack([start, end], axis=1)
+            for k, (doc_id, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), _raw(batch.column("text")))):
+                mine = gone[edges[k] : edges[k + 1]].ravel().tolist()
+                kept = raw
+                if mine:
+                    ends = [0, *mine, len(raw)]
+                    kept = b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2])])
+                row = (doc_id, len(raw), len(raw) - len(kept), len(mine) // 2, hashlib.sha256(kept).hexdigest())
                 for values, value in zip(out, row + ((kept,) if texts else ())):
                     values.append(value)
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from edge import edge_documents, with_clashes
 from pulsetrace.llm import suffixes as S
@@ -41,6 +42,22 @@ def rows():
     return [*out, (160, long), (161, "a" * 300), (162, long[69_000:90_000]), (163, out[5][1])]
 
 
+def test_texts_side_by_side_have_the_entries_of_each_alone():
+    texts = [t.encode() for _, t in rows()] + [b"", b"x" * 99, b"ab" * 50]
+    number, *many = S.entries_of(texts)
+    for i, text in enumerate(texts):
+        own = number == i
+        for a, b in zip(many, S.entries(text)):
+            assert a[own].tolist() == b.tolist()
+
+
+def test_named_suffixes_are_the_least_hashes_of_their_windows():
+    rng = np.random.default_rng(2)
+    for n, width in ((1, 1), (7, 7), (50, 7), (49, 7), (8, 3), (100, 69)):
+        values = rng.integers(0, 20, n).astype(np.uint64)
+        assert S._least(values, width).tolist() == [values[i : i + width].min() for i in range(n - width + 1)]
+
+
 def key(r):
     return str(r[0]), r[1:]
 
