@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..models.specs import SPECS
 from ..models.training import fit_features
-from ..operators.indexing import category_counts, fit_index, index_name
+from ..operators.indexing import category_counts, fit_bounded_index, fit_index, index_name, least_share
 from ..operators.indexing import index_pairs as distinct_pairs
 from ..operators.rows import drop_null_rows
 from . import standins as S
@@ -57,6 +57,25 @@ def string_index_tables(spark, sf_dir):
     return fit_index(conns, CATEGORIES, max_driver_labels=0).transform(conns).select(*INDEXED_COLUMNS)
 
 
+TRACKED_VALUES = 1024
+
+
+@query(CONN + f""",
+history_counts AS (SELECT history, count(*) AS n FROM conn_v WHERE history IS NOT NULL GROUP BY history),
+cut AS (SELECT ceil(sum(n) * {least_share(TRACKED_VALUES)!r}) AS least FROM history_counts),
+frequent AS (
+  SELECT history, CAST(row_number() OVER (ORDER BY n DESC, history) - 1 AS DOUBLE) AS place
+  FROM history_counts, cut WHERE n >= least)
+SELECT h.history, coalesce(f.place, (SELECT CAST(count(*) AS DOUBLE) FROM frequent)) AS history_index, h.n AS rows
+FROM history_counts h LEFT JOIN frequent f USING (history)""")
+def string_index_bounded(spark, sf_dir):
+    """Values above a cut as the exact index has them, the rare ones under one more: from a sketch of a fixed size."""
+    conns = S.connections(spark, sf_dir).select("history")
+    index, _ = fit_bounded_index(conns, ["history"], TRACKED_VALUES)
+    found = index.transform(conns).where("history IS NOT NULL")
+    return found.groupBy("history", "history_index").agg(F.count("*").alias("rows"))
+
+
 @query(CONN + ",\none_capture AS (SELECT * FROM conn_v WHERE source_file = 'beacon-AO.log'),"
        + index_ctes("one_capture", apply_to="conn_v")
        + "SELECT " + ", ".join(INDEXED_COLUMNS) + " FROM indexed")
@@ -72,6 +91,25 @@ SELECT orig_h, orig_p, resp_h, history, x.idx AS history_index, route
 FROM conn_v c JOIN ix_history x ON c.history = x.value, (VALUES ('metadata'), ('table')) r(route)"""
 
 
+TRACKED_VALUES = 1024
+
+
+@query(CONN + f""",
+history_counts AS (SELECT history, count(*) AS n FROM conn_v WHERE history IS NOT NULL GROUP BY history),
+cut AS (SELECT ceil(sum(n) * {least_share(TRACKED_VALUES)!r}) AS least FROM history_counts),
+frequent AS (
+  SELECT history, CAST(row_number() OVER (ORDER BY n DESC, history) - 1 AS DOUBLE) AS place
+  FROM history_counts, cut WHERE n >= least)
+SELECT h.history, coalesce(f.place, (SELECT CAST(count(*) AS DOUBLE) FROM frequent)) AS history_index, h.n AS rows
+FROM history_counts h LEFT JOIN frequent f USING (history)""")
+def string_index_bounded(spark, sf_dir):
+    """Values above a cut as the exact index has them, the rare ones under one more: from a sketch of a fixed size."""
+    conns = S.connections(spark, sf_dir).select("history")
+    index, _ = fit_bounded_index(conns, ["history"], TRACKED_VALUES)
+    found = index.transform(conns).where("history IS NOT NULL")
+    return found.groupBy("history", "history_index").agg(F.count("*").alias("rows"))
+
+
 @query(CONN + ",\none_capture AS (SELECT * FROM conn_v WHERE source_file = 'beacon-AO.log'),"
        + index_cte("ix_history", "one_capture", "history") + INVALID_KEPT)
 def string_index_skip_unseen(spark, sf_dir):

@@ -1,17 +1,22 @@
 """What a fitted model must satisfy, as one row: its own arithmetic redone with column expressions.
 
-``mismatches`` counts rows whose prediction differs from the exported parameters applied to the
-feature columns. The other column says whether the fit got somewhere: for a linear machine, whether
-a step in any single parameter still lowers the training loss; for a perceptron, whether
-its training loss lies below what the class shares alone give.
+``known`` has the feature columns and labels of the training rows, ``scored`` those and the predictions of the test
+rows. ``mismatches`` counts rows whose prediction differs from the exported parameters applied to the feature
+columns. The other column says whether the fit got somewhere: for a linear machine, whether a step in any single
+parameter still lowers the training loss; for a perceptron, whether its training loss lies below what the class
+shares alone give.
 """
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models.training import FittedModel, training_rows
+from ..models import network
+from ..models.forest import node_table, with_votes
+from ..models.hinge import certificate
+from ..models.training import FittedModel
 
 STEP = 0.05  # in standard deviations of a feature
 TOLERANCE = 0.002  # of the mean hinge loss, which is 1 before a fit
@@ -22,7 +27,7 @@ def _mismatches(scored: DataFrame, expected) -> tuple[int, int]:
     return tuple(scored.agg(F.count("*"), differ).first())
 
 
-def linear_check(model: FittedModel, train: DataFrame, test: DataFrame) -> DataFrame:
+def linear_check(model: FittedModel, known: DataFrame, scored: DataFrame) -> DataFrame:
     """(rows, mismatches, improvable) of a linear support vector machine."""
     names, weights = model.spec.features, list(model.estimator.coefficients)
     intercept = model.estimator.intercept
@@ -30,10 +35,7 @@ def linear_check(model: FittedModel, train: DataFrame, test: DataFrame) -> DataF
     def margin(w, b):
         return sum((F.lit(float(x)) * F.col(c) for x, c in zip(w, names)), F.lit(float(b)))
 
-    rows, mismatches = _mismatches(
-        model.score(test), F.when(margin(weights, intercept) > 0, 1.0).otherwise(0.0)
-    )
-    known = model.score(training_rows(model.spec, train))
+    rows, mismatches = _mismatches(scored, F.when(margin(weights, intercept) > 0, 1.0).otherwise(0.0))
     spread = known.agg(*[F.stddev_samp(c).alias(c) for c in names]).first()
     steps = [(weights, intercept)]
     for sign in (STEP, -STEP):
@@ -49,38 +51,61 @@ def linear_check(model: FittedModel, train: DataFrame, test: DataFrame) -> DataF
     return _row(rows, mismatches, "improvable", min(others) < base - TOLERANCE)
 
 
-def perceptron_check(model: FittedModel, train: DataFrame, test: DataFrame) -> DataFrame:
+GAP = 0.05  # of the mean hinge loss
+AGREES = 1e-3  # the gradient's norm against the slope along it
+STEP_ALONG = 1e-7
+
+
+def svm_certificate(model: FittedModel, known: DataFrame) -> DataFrame:
+    """(rows, optimal): whether the loss is proven to lie within ``GAP`` of the best."""
+    found = certificate(known, model.spec.features, list(model.estimator.coefficients), model.estimator.intercept)
+    return SparkSession.active().createDataFrame(
+        [(found.rows, found.bound <= found.loss <= found.bound + GAP)], "rows long, optimal boolean"
+    )
+
+
+def forest_check(model: FittedModel, scored: DataFrame) -> DataFrame:
+    """(rows, mismatches): predictions redone from the forest's table of nodes."""
+    depth = int(model.estimator.getOrDefault("maxDepth"))
+    voted = with_votes(scored, node_table(model), model.spec.features, depth)
+    found = _mismatches(voted, F.col("voted"))
+    return SparkSession.active().createDataFrame([tuple(found)], "rows long, mismatches long")
+
+
+def perceptron_check(model: FittedModel, known: DataFrame, scored: DataFrame) -> DataFrame:
     """(rows, mismatches, beats_prior) of a multilayer perceptron."""
-    layers = model.estimator.getOrDefault("layers")
-    weights = [float(w) for w in model.estimator.weights]
-
-    def with_scores(df):
-        df = df.withColumn("signal", F.array(*[F.col(c).cast("double") for c in model.spec.features]))
-        at = 0
-        for depth, (n_in, n_out) in enumerate(zip(layers[:-1], layers[1:])):
-            # A layer's weights are stored column by column, its biases after them.
-            matrix, bias = weights[at : at + n_in * n_out], weights[at + n_in * n_out :]
-            at += n_in * n_out + n_out
-            outs = [
-                sum((F.lit(matrix[i * n_out + o]) * F.col("signal")[i] for i in range(n_in)), F.lit(bias[o]))
-                for o in range(n_out)
-            ]
-            last = depth == len(layers) - 2
-            df = df.withColumn("signal", F.array(*[x if last else 1 / (1 + F.exp(-x)) for x in outs]))
-        return df
-
-    best = F.array_position("signal", F.array_max("signal")) - 1
-    rows, mismatches = _mismatches(with_scores(model.score(test)), best.cast("double"))
-    known = with_scores(model.score(training_rows(model.spec, train)))
-    top = F.array_max("signal")
-    scale = F.log(F.aggregate("signal", F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top
-    loss, n, ones = known.agg(
-        F.avg(scale - F.get("signal", F.col("label"))), F.count("*"), F.sum("label")
-    ).first()
+    layers, features = _layers(model), model.spec.features
+    rows, mismatches = _mismatches(network.with_expected(scored, layers, features), F.col("expected"))
+    n, ones = known.agg(F.count("*"), F.sum("label")).first()
+    (loss,) = network.mean_losses(known, [layers], features)
     entropy = -sum(k / n * math.log(k / n) for k in (ones, n - ones) if k)
     return _row(rows, mismatches, "beats_prior", loss < entropy - 1e-3)
 
 
+def gradient_check(model: FittedModel, known: DataFrame) -> DataFrame:
+    """(rows, agrees, falls): the gradient's norm against the loss a little up and down along it, and the loss
+    against that of weights drawn at random, from which a fit starts."""
+    features, weights = model.spec.features, np.array(model.estimator.weights, float)
+    widths = model.estimator.getOrDefault("layers")
+    gradient, loss, n = network.mean_gradient(known, network.layers_of(widths, weights), features)
+    norm = float(np.linalg.norm(gradient))
+    # Features are as wide as bytes sent, so the step is short; the loss is summed to some 15 digits.
+    step = STEP_ALONG / max(1.0, norm) * gradient / max(norm, 1e-300)
+    drawn = np.random.default_rng(1).normal(0, 0.3, len(weights))
+    up, down, start = network.mean_losses(
+        known, [network.layers_of(widths, w) for w in (weights + step, weights - step, drawn)], features
+    )
+    length = float(np.linalg.norm(step))
+    slope = (up - down) / (2 * length) if length else 0.0
+    return SparkSession.active().createDataFrame(
+        [(n, abs(slope - norm) <= AGREES * max(norm, 1e-2), loss < start)], "rows long, agrees boolean, falls boolean"
+    )
+
+
+def _layers(model: FittedModel) -> network.Layers:
+    return network.layers_of(model.estimator.getOrDefault("layers"), model.estimator.weights)
+
+
 def _row(rows, mismatches, name, value):
     return SparkSession.active().createDataFrame(
         [(rows, mismatches, bool(value))], f"rows long, mismatches long, {name} boolean"

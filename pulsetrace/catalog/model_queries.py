@@ -9,12 +9,13 @@ from ..models.training import fit, fit_features, fit_kmeans_seeds, training_rows
 from ..operators import evaluation
 from ..operators.labeling import label_by_indicator
 from ..plans import datasets
-from ..plans.runs import evaluate, run
+from ..plans.runs import Report, evaluate, run
 from ..sources.scratch import new_scratch
 from . import standins as S
 from .evaluation_queries import PLACES, ROUNDED_METRICS_SQL
 from .feature_queries import CATEGORIES, index_ctes
-from .fit_checks import linear_check, perceptron_check
+from .fit_checks import forest_check, gradient_check, linear_check, perceptron_check, svm_certificate
+from .fitted import fitted
 from .registry import query
 from .scan_queries import rounded
 from .sql import (
@@ -178,14 +179,14 @@ def _perceptron_sql(test):
     return f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches, true AS beats_prior FROM {test}"
 
 
-def _checked(check, name, splits):
-    train, test = splits
-    return check(fit(SPECS[name], train), train, test)
+def _checked(check, spark, sf_dir, name):
+    found = fitted(spark, sf_dir, name, conn_splits if name.startswith("conn") else group_splits)
+    return check(found.model, found.known, found.scored)
 
 
 @query(CONN_TESTED + _svm_sql("conn_test"))
 def conn_linear_svm(spark, sf_dir):
-    return _checked(linear_check, "conn_linear_svm", conn_splits(spark, sf_dir))
+    return _checked(linear_check, spark, sf_dir, "conn_linear_svm")
 
 
 # The training label is a function of orig_pkts; a forest that has learnt it repeats it.
@@ -198,7 +199,7 @@ def conn_random_forest(spark, sf_dir):
 
 @query(CONN_TESTED + _perceptron_sql("conn_test"))
 def conn_perceptron(spark, sf_dir):
-    return _checked(perceptron_check, "conn_perceptron", conn_splits(spark, sf_dir))
+    return _checked(perceptron_check, spark, sf_dir, "conn_perceptron")
 
 
 @query(CONN_NB + f"SELECT {', '.join(CONN_KEY)} FROM nb_scored WHERE label = 0 AND prediction = 1")
@@ -342,7 +343,7 @@ def group_kmeans(spark, sf_dir):
 
 @query(GROUP_SPLITS.rstrip(",") + _svm_sql("group_test"))
 def group_linear_svm(spark, sf_dir):
-    return _checked(linear_check, "group_linear_svm", group_splits(spark, sf_dir))
+    return _checked(linear_check, spark, sf_dir, "group_linear_svm")
 
 
 # A label that is a rule over the forest's features: one that has learnt it repeats it.
@@ -360,7 +361,7 @@ def group_random_forest(spark, sf_dir):
 
 @query(GROUP_SPLITS.rstrip(",") + _perceptron_sql("group_test"))
 def group_perceptron(spark, sf_dir):
-    return _checked(perceptron_check, "group_perceptron", group_splits(spark, sf_dir))
+    return _checked(perceptron_check, spark, sf_dir, "group_perceptron")
 
 
 GROUP_NB_KEY = "src_ip, src_p, dst_ip, nses, label, prediction"
@@ -376,3 +377,80 @@ def group_naive_bayes_missed(spark, sf_dir):
 def group_naive_bayes_alarms(spark, sf_dir):
     _, report = run(SPECS["group_naive_bayes"], *group_splits(spark, sf_dir))
     return report.alarms.select(*GROUP_NB_KEY.split(", "))
+
+
+def _proven(check, spark, sf_dir, name):
+    found = fitted(spark, sf_dir, name, conn_splits if name.startswith("conn") else group_splits)
+    return check(found.model, found.known)
+
+
+def _redone(spark, sf_dir, name):
+    found = fitted(spark, sf_dir, name, conn_splits if name.startswith("conn") else group_splits)
+    return forest_check(found.model, found.scored)
+
+
+CONN_KNOWN = CONN_TESTED + "SELECT count(*) AS rows, {} FROM conn_train"
+GROUP_KNOWN = GROUP_SPLITS.rstrip(",") + "SELECT count(*) AS rows, {} FROM group_train"
+PROVEN, DESCENDED = "true AS optimal", "true AS agrees, true AS falls"
+
+
+@query(CONN_KNOWN.format(PROVEN))
+def conn_linear_svm_certificate(spark, sf_dir):
+    """No plane has a loss much below the fitted one's: a bound from the dual."""
+    return _proven(svm_certificate, spark, sf_dir, "conn_linear_svm")
+
+
+@query(GROUP_KNOWN.format(PROVEN))
+def group_linear_svm_certificate(spark, sf_dir):
+    return _proven(svm_certificate, spark, sf_dir, "group_linear_svm")
+
+
+@query(CONN_KNOWN.format(DESCENDED))
+def conn_perceptron_gradient(spark, sf_dir):
+    """The network's gradient by back-propagation in column expressions, against differences of its loss."""
+    return _proven(gradient_check, spark, sf_dir, "conn_perceptron")
+
+
+@query(GROUP_KNOWN.format(DESCENDED))
+def group_perceptron_gradient(spark, sf_dir):
+    return _proven(gradient_check, spark, sf_dir, "group_perceptron")
+
+
+REDONE = " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM "
+
+
+@query(CONN_TESTED + REDONE + "conn_test")
+def conn_forest_table(spark, sf_dir):
+    """Predictions on the true labels, redone from the forest's table of nodes."""
+    return _redone(spark, sf_dir, "conn_random_forest")
+
+
+@query(GROUP_SPLITS.rstrip(",") + REDONE + "group_test")
+def group_forest_table(spark, sf_dir):
+    return _redone(spark, sf_dir, "group_random_forest")
+
+
+def _report(spark, sf_dir, name):
+    return Report(fitted(spark, sf_dir, name, conn_splits if name.startswith("conn") else group_splits).scored)
+
+
+def _register_reports():
+    """Cells, metrics and both kinds of errors of the models that SQL cannot fit; they have no SQL."""
+    whole = {"conn": CONN_KEY, "group": tuple(GROUP_NB_KEY.split(", "))}
+    for name in (f"{rows}_{family}" for rows in whole for family in ("linear_svm", "perceptron", "random_forest")):
+        key = whole[name.split("_")[0]]
+        parts = {
+            "cells": lambda report, key: report.cells,
+            "metrics": lambda report, key: rounded(report.metrics, METRIC_NAMES, PLACES),
+            "missed": lambda report, key: report.missed.select(*key),
+            "alarms": lambda report, key: report.alarms.select(*key),
+        }
+        for part, take in parts.items():
+            def asked(spark, sf_dir, name=name, take=take, key=key):
+                return take(_report(spark, sf_dir, name), key)
+
+            asked.__name__ = f"{name}_{part}"
+            query()(asked)
+
+
+_register_reports()

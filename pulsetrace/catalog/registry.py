@@ -35,6 +35,7 @@ def _load():
     from . import (  # noqa: F401
         capture_queries,
         evaluation_queries,
+        family_queries,
         feature_queries,
         label_queries,
         model_queries,

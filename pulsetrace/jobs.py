@@ -75,6 +75,7 @@ def fit_job(
     max_bins=None,
     max_driver_labels=MAX_DRIVER_LABELS,
     rows_per_task=ROWS_PER_TASK,
+    tracked=None,
 ) -> str:
     """Fit and save; ``params`` are set over the pipeline's own estimator parameters."""
     spec = replace(SPECS[spec_name].with_params(**(params or {})), max_bins=max_bins)
@@ -84,8 +85,8 @@ def fit_job(
         for run in runs:
             print(f"seed {run.seed} cost {run.cost} silhouette {run.silhouette}{' kept' if run.kept else ''}")
     else:
-        model = fit(spec, train, max_driver_labels, rows_per_task)
-    return store.save(model, models)
+        model = fit(spec, train, max_driver_labels, rows_per_task, tracked)
+    return store.save(model, models, train)
 
 
 def evaluate_job(spark, model_path, data, out, align_with=None, fmt="parquet") -> Report:
@@ -127,6 +128,8 @@ def main(argv=None):
     f.add_argument("--max-bins", type=int, help="forests: fail where more bins are needed")
     f.add_argument("--max-driver-labels", type=int, default=MAX_DRIVER_LABELS,
                    help="larger vocabularies are kept as tables, with the same result")
+    f.add_argument("--tracked", type=int,
+                   help="a power of two: index only values above 3.5 / TRACKED of the rows, from a sketch of fixed size")
     f.add_argument("--param", action="append", default=[], metavar="NAME=VALUE",
                    help="estimator parameter, VALUE as JSON, such as maxIter=200")
     f.add_argument("--keep", choices=("best", "last"), default="best")
@@ -148,7 +151,7 @@ def main(argv=None):
             seeds = [random.randint(0, 10**11) for _ in range(args.rounds)]
         params = {k: json.loads(v) for k, v in (p.split("=", 1) for p in args.param)}
         print(fit_job(spark, args.spec, args.data, args.models, seeds, args.keep, args.format,
-                      params, args.max_bins, args.max_driver_labels, args.rows_per_task))
+                      params, args.max_bins, args.max_driver_labels, args.rows_per_task, args.tracked))
     else:
         report = evaluate_job(spark, args.model, args.data, args.out, args.align_with, args.format)
         report.named_cells.show()

@@ -21,7 +21,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clusters import align_clusters, cluster_label_map
-from ..operators.indexing import MAX_DRIVER_LABELS, CategoryIndex, IndexTable, fit_index
+from ..operators.indexing import MAX_DRIVER_LABELS, CategoryIndex, IndexTable, fit_bounded_index, fit_index
 from ..operators.rows import drop_null_rows
 from ..sources.layout import ROWS_PER_TASK, stable_layout
 from . import specs
@@ -71,15 +71,18 @@ def laid_out(spec: ModelSpec, train: DataFrame, rows_per_task: int = ROWS_PER_TA
 
 
 def fit_features(
-    spec: ModelSpec, train: DataFrame, max_driver_labels: int | None = MAX_DRIVER_LABELS
+    spec: ModelSpec, train: DataFrame, max_driver_labels: int | None = MAX_DRIVER_LABELS, tracked: int | None = None
 ) -> FittedModel:
     """The feature half of the pipeline, fitted; ``score`` of the result adds ``features``.
 
     ``max_driver_labels`` only chooses how an index is held. Trees and one-hot vectors need every
-    category as metadata and get it, whatever their number.
+    category as metadata and get it, whatever their number; with ``tracked`` they, and the others, get the
+    frequent ones alone, and the rest shares one more (``fit_bounded_index``).
     """
     index = CategoryIndex()
-    if spec.categories:
+    if spec.categories and tracked is not None:
+        index, _ = fit_bounded_index(train, spec.categories, tracked)
+    elif spec.categories:
         if spec.one_hot or spec.family == specs.RANDOM_FOREST:
             max_driver_labels = None
         index = fit_index(train, spec.categories, max_driver_labels)
@@ -134,9 +137,10 @@ def fit(
     train: DataFrame,
     max_driver_labels: int | None = MAX_DRIVER_LABELS,
     rows_per_task: int = ROWS_PER_TASK,
+    tracked: int | None = None,
 ) -> FittedModel:
     rows = laid_out(spec, train, rows_per_task)
-    features = fit_features(spec, rows, max_driver_labels)
+    features = fit_features(spec, rows, max_driver_labels, tracked)
     vectors = _vectors(spec, features, rows)
     width = None
     if spec.one_hot:

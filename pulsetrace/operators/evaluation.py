@@ -49,11 +49,11 @@ def named_confusion(cells: DataFrame, names: Mapping[int, str] = CLASS_NAMES) ->
     )
 
 
-def class_rates(cells: DataFrame) -> DataFrame:
+def class_rates(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per class: rows, predicted rows, hits, precision, recall and F1, from ``confusion``.
 
     Precision and F1 are 0 for a class that is never predicted; recall is null
-    for a class without rows.
+    for a class without rows. ``by`` names further columns of the cells that tell models apart.
     """
     sides = F.explode(
         F.array(
@@ -73,8 +73,8 @@ def class_rates(cells: DataFrame) -> DataFrame:
         )
     ).alias("side")
     sums = (
-        cells.select(sides)
-        .groupBy(F.col("side.class").alias("class"))
+        cells.select(*by, sides)
+        .groupBy(*by, F.col("side.class").alias("class"))
         .agg(*[F.sum(f"side.{c}").alias(c) for c in ("rows", "predicted", "hits")])
     )
     return sums.select(
@@ -86,9 +86,9 @@ def class_rates(cells: DataFrame) -> DataFrame:
     )
 
 
-def metrics(cells: DataFrame) -> DataFrame:
-    """One row: accuracy, weighted precision, weighted F1, weighted recall, detection rates."""
-    rates = class_rates(cells)
+def metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each value of ``by``): accuracy, weighted precision, weighted F1, weighted recall, detection rates."""
+    rates = class_rates(cells, by)
 
     def weighted(value):
         return share(F.sum(F.col("rows") * value), F.sum("rows"))
@@ -96,7 +96,7 @@ def metrics(cells: DataFrame) -> DataFrame:
     def detection_rate(label):
         return F.max(F.when(F.col("class") == label, F.col("recall")))
 
-    return rates.agg(
+    return (rates.groupBy(*by) if by else rates).agg(
         share(F.sum("hits"), F.sum("rows")).alias("accuracy"),
         weighted(F.col("precision")).alias("weighted_precision"),
         weighted(F.col("f1")).alias("f1"),

@@ -5,6 +5,7 @@ columns. A small vocabulary becomes a ``StringIndexerModel``; one over the limit
 stays a distributed table and is applied by a join.
 """
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,6 +20,8 @@ from .lookup import broadcast_size, lookup
 # Vocabularies up to this size go through the driver into model metadata; larger ones are tables
 # with the same result. None puts all of them into metadata.
 MAX_DRIVER_LABELS = 20_000
+TRACKED = 1 << 14  # values a sketch follows
+SKETCH_ERROR = 3.5  # its error in rows, times the values it follows, over all rows
 _ENTRY_BYTES = 72  # of a row beside its value
 RANKED = "value string, count long, index double, column string"
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -160,6 +163,54 @@ def fit_index(
     return CategoryIndex(models, tables, handle_invalid)
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Values of a column that hold at least ``rows`` of its rows are indexed; the others share the last index."""
+
+    rows: int
+    kept: int
+
+
+def least_share(tracked: int) -> float:
+    """The share of rows above which a sketch of ``tracked`` values misses none (its error bound)."""
+    return SKETCH_ERROR / tracked
+
+
+def fit_bounded_index(
+    df: DataFrame, columns: Sequence[str], tracked: int = TRACKED, handle_invalid: str = "keep"
+) -> tuple[CategoryIndex, dict[str, Cut]]:
+    """Indexes whose size does not grow with the number of values, and their cuts.
+
+    One scan builds a mergeable heavy-hitter sketch per column, a second one counts the values that it names. Those at or
+    above the cut are indexed as ``fit_index`` would index them; rarer ones get the index of unseen values.
+    """
+    if tracked & (tracked - 1):
+        raise ValueError("tracked must be a power of two, as the sketch's table is")
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    most = int(tracked / SKETCH_ERROR) + 2  # no more values can lie above the cut, null included
+    sketch = [
+        F.call_function("approx_top_k", F.col(c), F.lit(most), F.lit(tracked)).alias(c) for c in columns
+    ]
+    found = text.agg(*sketch, *[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)]).first()
+    named = [(c, r["item"]) for c in columns for r in (found[c] or []) if r["item"] is not None]
+    cuts = {c: math.ceil(found[f"_n{i}"] * least_share(tracked)) for i, c in enumerate(columns)}
+    labels: dict[str, list[str]] = {c: [] for c in columns}
+    if named:
+        asked = df.sparkSession.createDataFrame(named, "column string, value string")
+        values = text.unpivot([], list(columns), "column", "value")
+        counted = values.join(F.broadcast(asked), ["column", "value"]).groupBy("column", "value").count()
+        for r in sorted(counted.collect(), key=lambda r: (-r["count"], r["value"])):
+            if r["count"] >= cuts[r["column"]]:
+                labels[r["column"]].append(r["value"])
+    models = [
+        StringIndexerModel.from_labels(
+            labels[c], inputCol=c, outputCol=index_name(c), handleInvalid=handle_invalid
+        )
+        for c in columns
+    ]
+    return CategoryIndex(models, {}, handle_invalid), {c: Cut(cuts[c], len(labels[c])) for c in columns}
+
+
 def index_pairs(df: DataFrame, column: str) -> DataFrame:
     """Distinct (value, index) pairs of an indexed frame."""
     return df.select(column, index_name(column)).distinct()

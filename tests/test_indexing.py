@@ -1,5 +1,6 @@
 """Category indexes against MLlib's own StringIndexer, and the distributed route."""
 
+import math
 import random
 from collections import Counter
 
@@ -9,7 +10,10 @@ from hypothesis import strategies as st
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
+from pulsetrace.models.specs import SPECS
+from pulsetrace.models.training import fit
 from pulsetrace.operators import indexing as I
+from pulsetrace.operators.indexing import category_counts, fit_bounded_index, fit_index
 from pulsetrace.sources.scratch import new_scratch
 
 
@@ -127,3 +131,55 @@ def test_any_text_ranks_by_count_then_value(spark, values):
     for limit in (100, 0):
         out = I.fit_index(df, ["c"], max_driver_labels=limit).transform(df).distinct().collect()
         assert {r["c"]: int(r["c_index"]) for r in out} == {v: i for i, v in enumerate(order)}
+
+
+def skewed(spark, n=20_000):
+    """Values with falling frequencies and a long tail of rare ones; a few nulls."""
+    i = F.col("id")
+    value = (
+        F.when(i % 1000 == 999, F.lit(None)).when(i % 2 == 0, F.concat(F.lit("top"), (i % 20).cast("string")))
+        .when(i % 5 == 1, F.concat(F.lit("mid"), (i % 150).cast("string"))).otherwise(F.concat(F.lit("rare"), i.cast("string")))
+    )
+    return spark.range(n).select(value.alias("a"), (i % 3).cast("string").alias("b")).repartition(7)
+
+
+def test_bounded_index_is_the_exact_one_above_the_cut(spark):
+    df = skewed(spark)
+    exact = {m.getInputCol(): list(m.labels) for m in fit_index(df, ["a", "b"], None).models}
+    counts = {(r["column"], r["value"]): r["count"] for r in category_counts(df, ["a", "b"]).collect()}
+    for tracked in (256, 2048):
+        index, cuts = fit_bounded_index(df, ["a", "b"], tracked)
+        for model in index.models:
+            column = model.getInputCol()
+            rows = df.where(F.col(column).isNotNull()).count()
+            assert cuts[column].rows == math.ceil(rows * 3.5 / tracked)
+            want = [v for v in exact[column] if counts[column, v] >= cuts[column].rows]
+            assert list(model.labels) == want and cuts[column].kept == len(want) > 0
+        got = index.transform(df)
+        rare = got.where("a LIKE 'rare%' OR a IS NULL").select("a_index").distinct().collect()
+        assert [r[0] for r in rare] == [float(cuts["a"].kept)]
+
+
+def test_bounded_index_of_odd_tables(spark):
+    empty = skewed(spark).limit(0)
+    index, cuts = fit_bounded_index(empty, ["a"], 256)
+    assert cuts["a"].kept == 0 and index.transform(empty).count() == 0
+    nulls = spark.range(5).select(F.lit(None).cast("string").alias("a"))
+    assert fit_bounded_index(nulls, ["a"], 256)[1]["a"].kept == 0
+    with pytest.raises(ValueError, match="power of two"):
+        fit_bounded_index(nulls, ["a"], 1000)
+
+
+def test_a_forest_fits_on_a_bounded_index(spark):
+    i = F.col("id")
+    df = spark.range(4000).select(
+        F.lit("tcp").alias("proto"), F.lit("ssl").alias("service"),
+        F.when(i % 2 == 0, F.concat(F.lit("h"), (i % 10).cast("string"))).otherwise(F.concat(F.lit("x"), i.cast("string"))).alias("history"),
+        *[i.cast("long").alias(c) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "orig_ip_bytes", "resp_pkts")],
+        (i % 2).cast("int").alias("label"),
+    )
+    spec = SPECS["conn_random_forest"].with_params(numTrees=2, maxBins=32)
+    model = fit(spec, df, tracked=256)
+    assert model.estimator.getOrDefault("maxBins") == 32  # 2,005 values, six bins
+    scored = model.score(df)
+    assert scored.where("prediction <> label").count() == 0
