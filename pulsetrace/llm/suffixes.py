@@ -43,7 +43,7 @@ MATCH = 100
 GRAM = 32
 GROUP = 2048
 BATCHES = 4
-_ENTRIES = 1 << 20  # entries a task holds before it combines them
+_ENTRIES = 1 << 19  # entries a task holds before it combines them
 _BLOCK = 1 << 16
 
 _rng = np.random.default_rng(20)

@@ -3,7 +3,8 @@
 Equal vectors are one class. Coarse centres and, for what is left after subtracting a centre, one
 codebook per subspace are fitted on a bounded sample; every class is then put in the list of its
 nearest centre as codes. A class probes the lists whose cells can hold a vector within the link
-radius, nearest cell wall first. In a list, distances are table lookups (one table per query and
+radius, nearest cell wall first: the ``probes`` nearest ones, its own included, or with ``probes=None`` all of
+them, which finds every link. In a list, distances are table lookups (one table per query and
 subspace); the quantisation error stored with each code makes them lower bounds, so no
 candidate within the radius is passed over. Candidates are compared by exact cosine in double precision.
 
@@ -80,8 +81,8 @@ class Quantiser:
         """Squared distances of each query to every codeword, per subspace."""
         return [_squared(residual[:, s], w) for s, w in zip(self.slices, self.words)]
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, most: int) -> list[np.ndarray]:
-        """Other lists whose cells come within ``radius`` of each row, nearest cell wall first."""
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, most: int | None) -> list[np.ndarray]:
+        """Other lists whose cells come within ``radius`` of each row, nearest cell wall first; ``most`` None: all."""
         between = np.sqrt(_squared(self.centres, self.centres))
         out = []
         for at in range(0, len(x), 1024):
@@ -93,8 +94,8 @@ class Quantiser:
             wall[apart == 0] = 0.0
             wall[np.arange(len(home)), home] = np.inf
             for row in wall:
-                near = np.argsort(row, kind="stable")[: most - 1]
-                out.append(near[row[near] <= radius].astype(np.int32))
+                near = np.argsort(row, kind="stable")[: None if most is None else most - 1]
+                out.append(near[row[near] <= radius + 1e-9].astype(np.int32))
         return out
 
 
@@ -140,7 +141,7 @@ def _matrix(column, width: int) -> np.ndarray:
 INDEX = "cid long, copies long, unit binary, size int, list int, code binary, error double, probes array<int>"
 
 
-def _index(classes: DataFrame, shared, width: int, radius: float, most: int) -> DataFrame:
+def _index(classes: DataFrame, shared, width: int, radius: float, most: int | None) -> DataFrame:
     def rows(batches):
         q = shared.value
         for batch in batches:
@@ -200,7 +201,7 @@ def _search(shared, width: int, cosine: float, radius: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES,
+    vectors: DataFrame, cosine: float = COSINE, probes: int | None = PROBES,
     rows_per_list: int = ROWS_PER_LIST, cell: int = CELL,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding)."""

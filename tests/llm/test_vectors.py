@@ -63,6 +63,20 @@ def test_links_and_components(spark):
     assert got[9008] == (1, 9007, False)
 
 
+def test_all_lists_within_the_radius_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 12))
+    away = rng.normal(size=(900, 12)) * rng.uniform(0, 0.35, (900, 1))  # many pairs near the threshold
+    x = base[rng.integers(0, 300, 900)] + away
+    rows = [(int(i), [float(np.float32(f)) for f in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(3)
+    want = brute(rows)
+    got = {r[0]: tuple(r)[1:] for r in V.near_duplicates(df, probes=None, rows_per_list=8).collect()}
+    assert got == want and sum(r[0] for r in want.values()) > 500
+    few = {r[0]: tuple(r)[1:] for r in V.near_duplicates(df, probes=2, rows_per_list=8).collect()}
+    assert sum(r[0] for r in few.values()) < sum(r[0] for r in want.values())
+
+
 def test_a_group_of_copies_and_repeated_ids(spark):
     rows = [(i, [1.0, 0.0, 0.5], 0) for i in range(300)] + [(7, [1.0, 0.0, 0.5], 0), (None, [1.0, 0.0, 0.5], 0)]
     got = V.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
