@@ -11,8 +11,8 @@ n-gram is one n-gram; items with equal words match alike; repeated rows are repo
 empty benchmark or corpus gives no rows; other columns are ignored. Texts are read whole.
 
 Scale: the benchmark is measured. Within ``BROADCAST_BYTES`` its words go to every task and
-documents never move; beyond, it is cut into parts of that size and each part takes one
-pass over the corpus. Only counts and hits are shuffled.
+documents never move; beyond, it is cut into parts of that size and each part takes two passes
+over the corpus, one for the frequencies and one that aligns. Only counts and matches are shuffled.
 """
 
 import re
@@ -155,73 +155,60 @@ def seeds(items: Items, df: np.ndarray, rare: float = RARE) -> np.ndarray:
     return df[gram] <= rare * (median[items.owner] + 1) + SLACK
 
 
-PASSAGE = "doc_id long, item int, passage array<int>, grams array<int>, places array<int>"
+def _document_frequency(docs: DataFrame, shared, size: int) -> np.ndarray:
+    """Rows whose text holds each n-gram of the benchmark, over all rows; a task sends a number per n-gram it has met."""
 
-
-def _passages(docs: DataFrame, shared) -> DataFrame:
-    """Stretches of documents around n-grams of one item: word numbers, and which n-grams were hit."""
-    ints = pa.list_(pa.int32())
-    schema = arrow_schema(doc_id=pa.int64(), item=pa.int32(), passage=ints, grams=ints, places=ints)
-
-    def cut(batches):
+    def count(batches):
         items = shared.value
+        met = np.zeros(size, np.int64)
         for batch in batch_rows(batches):
-            out = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                numbers = items.number(text)
-                at, gram = items.hits(numbers)
-                if not len(at):
-                    continue
-                n = items.last[gram] - items.first[gram]
-                entry = np.repeat(items.first[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at, gram, owner, place = np.repeat(at, n), np.repeat(gram, n), items.owner[entry], items.place[entry]
-                for item in np.unique(owner):
-                    own = owner == item
-                    where, length = at[own], len(items.words[item])
-                    for a, b in _windows(where, place[own], length):
-                        inside = (where >= a) & (where < b)
-                        row = (doc_id, item, numbers[a:b], gram[own][inside], place[own][inside])
-                        for values, value in zip(out, row):
-                            values.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema
-            )
+            for text in batch.column("text").to_pylist():
+                met[np.unique(items.hits(items.number(text))[1])] += 1
+        gram = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(met[gram])], ["gram", "n"])
 
-    return docs.mapInArrow(cut, PASSAGE)
-
-
-def _document_frequency(passages: DataFrame, size: int) -> np.ndarray:
-    """Documents that hold each n-gram of the benchmark, over all documents."""
-    counted = passages.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").count()
+    counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     df = np.zeros(size, np.int64)
     for gram, n in counted.collect():  # at most the n-grams of this part of the benchmark
         df[gram] = n
     return df
 
 
-def _aligned(passages: DataFrame, shared, chosen: np.ndarray, similarity: float) -> DataFrame:
-    """Passages that hold a seed of their item, scored by alignment; those below ``similarity`` go."""
+def _matches(docs: DataFrame, shared, chosen: np.ndarray, similarity: float) -> DataFrame:
+    """(doc_id, item_id, similarity): stretches of documents that hold a seed of an item, scored by alignment.
+
+    A stretch lies around all hits of the item that are near each other, and is aligned if one of them is a seed;
+    nothing else leaves the task.
+    """
     schema = arrow_schema(doc_id=pa.int64(), item_id=pa.int64(), similarity=pa.float64())
 
     def align(batches):
         items = shared.value
-        is_seed = {(int(o), int(p)) for o, p in zip(items.owner[chosen], items.place[chosen])}
-        for batch in batches:
+        for batch in batch_rows(batches):
             out = ([], [], [])
-            for r in batch.to_pylist():
-                item = r["item"]
-                if not any((item, p) in is_seed for p in r["places"]):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                numbers = items.number(text)
+                at, gram = items.hits(numbers)
+                if not len(at):
                     continue
-                words = items.words[item]
-                best = alignment(words, np.array(r["passage"])) / (MATCH * len(words))
-                if best >= similarity:
-                    for values, value in zip(out, (r["doc_id"], items.ids[item], best)):
-                        values.append(value)
+                n = items.last[gram] - items.first[gram]
+                entry = np.repeat(items.first[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at, owner, place, seed = np.repeat(at, n), items.owner[entry], items.place[entry], chosen[entry]
+                for item in np.unique(owner[seed]):
+                    own = owner == item
+                    where, words = at[own], items.words[item]
+                    for a, b in _windows(where, place[own], len(words)):
+                        if not seed[own][(where >= a) & (where < b)].any():
+                            continue
+                        best = alignment(words, numbers[a:b]) / (MATCH * len(words))
+                        if best >= similarity:
+                            for values, value in zip(out, (doc_id, items.ids[item], best)):
+                                values.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema
             )
 
-    return passages.mapInArrow(align, "doc_id long, item_id long, similarity double")
+    return docs.mapInArrow(align, "doc_id long, item_id long, similarity double")
 
 
 def contaminated(
@@ -242,9 +229,8 @@ def contaminated(
         if not items.ids:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(items)  # at most ``broadcast_bytes`` of text
-        passages = written(_passages(source, shared), "passages")
-        chosen = seeds(items, _document_frequency(passages, len(items.grams)), rare)
-        part = written(_aligned(passages, shared, chosen, similarity), "matches")
+        chosen = seeds(items, _document_frequency(source, shared, len(items.grams)), rare)
+        part = written(_matches(source, shared, chosen, similarity), "matches")
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double")

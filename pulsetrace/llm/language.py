@@ -171,8 +171,10 @@ def named(text: str | None, model: Languages) -> tuple[str, float]:
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """(doc_id, lang_pred, score) for every document, from its text alone."""
     schema = arrow_schema(doc_id=pa.int64(), lang_pred=pa.string(), score=pa.float64())
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 numbers per language
 
     def rows(batches):
+        model = sent.value
         for batch in batch_rows(batches):
             found = [named(text, model) for text in batch.column("text").to_pylist()]
             names, scores = [name for name, _ in found], [score for _, score in found]
@@ -189,7 +191,10 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Languages) -> DataFrame:
     """The rows of ``docs`` whose language is not ``und``, all columns; no score is too low."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 numbers per language
+
     def rows(batches):
+        model = sent.value
         for batch in batch_rows(batches):
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             keep = [named(text, model)[0] != UNKNOWN for text in texts]

@@ -1,6 +1,6 @@
 """Quality classifier: regularised quadratic discriminant over transformed text statistics.
 
-Each class has a mean and a covariance shrunk towards the pooled one and towards a sphere; its
+Each class has a mean and a covariance shrunk towards the pooled one and towards its diagonal; its
 Cholesky factor is computed once and shipped with the scorer. A score is the logistic of the
 difference of the two log densities (Mahalanobis distance, determinant, prior).
 

@@ -77,7 +77,7 @@ def test_rows_without_an_id_are_dropped_and_kept_like_others(spark):
 
 def test_registered_queries(spark):
     names = [n for n in queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     con = duck(SMOKE_DIR)
     for name in names:
         if name in oracle_sql():

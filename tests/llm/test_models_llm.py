@@ -61,6 +61,46 @@ def test_discriminant_equals_the_density_ratio():
     assert model.log_odds(x) == pytest.approx(want)
 
 
+def test_the_fit_is_the_shrunk_gaussian_of_its_rows(spark):
+    """Means, covariances, factors and scores once more from the rows themselves."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(["Alpha", "be", "7", "x!", "längs.", "\n"]) for _ in range(rng.randint(1, 60)))) for i in range(80)]
+    labels = [(i, (i * 7) % 3 == 0) for i in range(80)]
+    docs = documents(spark, texts)
+    known = spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, label int")
+    stats = Q.document_statistics(docs, held_out(5, 0))
+    model = Q.fit(stats, known, to_pooled=0.3, to_sphere=0.1)
+    kept = {r["doc_id"]: r["held_out"] for r in stats.collect()}
+    x = np.array([Q.statistics(t) for _, t in texts])
+    y = np.array([int(label) for _, label in labels])
+    learn = np.array([not kept[i] for i, _ in texts])
+    n = np.array([(y[learn] == c).sum() for c in (0, 1)])
+    own = [np.cov(x[learn & (y == c)].T, bias=True) for c in (0, 1)]
+    pooled = sum(n[c] * own[c] for c in (0, 1)) / n.sum()
+    odds = []
+    for c in (0, 1):
+        cov = 0.6 * own[c] + 0.3 * pooled + 0.1 * np.diag(np.maximum(np.diag(pooled), 1e-9))
+        away = x - x[learn & (y == c)].mean(axis=0)
+        density = -0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1]
+        odds.append(density + np.log(n[c] / n.sum()))
+    want = 1 / (1 + np.exp(np.clip(odds[0] - odds[1], -700, 700)))
+    got = {r["doc_id"]: r["score"] for r in Q.score(stats, model).collect()}
+    assert [got[i] for i, _ in texts] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_shares_are_the_likeliest_mixture():
+    """EM against a search over all shares of two and three languages; the set against trying every set."""
+    rng = np.random.default_rng(8)
+    for k in (2, 3):
+        p = rng.dirichlet(np.ones(40) * 0.3, k).T + 1e-6
+        truth = rng.dirichlet(np.ones(k))
+        n = rng.multinomial(3000, (p @ truth) / (p @ truth).sum()).astype(float)
+        pi, value = L.shares(p, n, rounds=2000)
+        grid = np.array([g for g in np.ndindex(*[41] * k) if sum(g) == 40]) / 40
+        best = max(float(n @ np.log(np.maximum(p @ g, 1e-300))) for g in grid)
+        assert abs(pi.sum() - 1) < 1e-9 and value >= best - 1e-6
+
+
 @pytest.mark.parametrize("text, letters", [
     ("😀😀", 0), ("𝟏𝟐", 0), ("🎉 1", 0), ("\U0010ffff \U000e0001", 0), ("½ ² _", 0), ("𠀀𠀁", 2), ("𝐀 b", 2), ("ª1", 1), ("é\u0301", 1),
 ])
@@ -141,6 +181,48 @@ def test_exact_and_edited_copies_are_found_and_others_left(spark):
         assert all(0.5 <= r["similarity"] <= 1 for r in got)
 
 
+def local_score(item, passage):
+    """Smith-Waterman over words, cell by cell."""
+    table = [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            same = D.MATCH if a == b else D.MISMATCH
+            table[i][j] = max(0, table[i - 1][j - 1] + same, table[i - 1][j] + D.GAP, table[i][j - 1] + D.GAP)
+    return max(map(max, table))
+
+
+def test_matches_are_those_of_aligning_all_with_all(spark):
+    """Every document against every item, whole texts: a pair counts if they share a seed and align well enough."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 25)}"
+    bench = [(i, " ".join(word() for _ in range(rng.randint(2, 9)))) for i in range(8)]
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(rng.randint(0, 25))]
+        if i % 2:
+            copied = bench[i % 8][1].split()
+            if i % 3 == 0 and len(copied) > 4:
+                copied[rng.randrange(len(copied))] = "edit"
+            at = rng.randint(0, len(words))
+            words = words[:at] + copied + words[at:]
+        rows.append((i, " ".join(words)))
+    grams = lambda words: [tuple(words[k : k + min(3, len(words))]) for k in range(len(words) - min(3, len(words)) + 1)]
+    inside = lambda gram, words: any(tuple(words[k : k + len(gram)]) == gram for k in range(len(words)))
+    texts = {i: t.split() for i, t in rows}
+    want = {}
+    for item_id, text in bench:
+        item = text.split()
+        counts = [sum(inside(g, words) for words in texts.values()) for g in grams(item)]
+        middle = sorted(counts)[(len(counts) - 1) // 2]
+        chosen = [g for g, n in zip(grams(item), counts) if n <= D.RARE * (middle + 1) + D.SLACK]
+        for i, words in texts.items():
+            score = local_score(item, words) / (D.MATCH * len(item))
+            if any(inside(g, words) for g in chosen) and score >= D.SIMILARITY:
+                want[i, item_id] = score
+    got = {(r[0], r[1]): r[2] for r in D.contaminated(documents(spark, rows), items(spark, bench)).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+
+
 def test_a_passage_in_every_document_still_has_seeds(spark):
     item = "a passage that every document of this corpus has copied word by word"
     docs = documents(spark, [(i, f"text {i} {item} end") for i in range(30)])
