@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import new_scratch
+
 ROWS_PER_TASK = 50_000
 _COPIES_PER_ROW = 100_000
 
@@ -16,8 +18,11 @@ def stable_layout(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFram
     it, so a row that is repeated often does not meet in one task.
     """
     columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    rows = df.count()
+    path = new_scratch(df.sparkSession, "layout")
+    counts = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    counts.write.parquet(path)  # read twice below, and ``df`` only here
+    counted = df.sparkSession.read.schema(counts.schema).parquet(path)
+    rows = counted.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / _COPIES_PER_ROW)))
     blocks = counted.withColumn("_block", block)
     first = F.col("_block") * _COPIES_PER_ROW
