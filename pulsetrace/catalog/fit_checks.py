@@ -51,7 +51,7 @@ def linear_check(model: FittedModel, known: DataFrame, scored: DataFrame) -> Dat
     return _row(rows, mismatches, "improvable", min(others) < base - TOLERANCE)
 
 
-GAP = 0.05  # of the mean hinge loss
+GAP = 0.1  # of the mean hinge loss; fits come within 0.06 of the bound on a hundred rows, 0.02 on a thousand
 AGREES = 1e-3  # the gradient's norm against the slope along it
 STEP_ALONG = 1e-7
 
