@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workers import importable
+
 Layers = list[tuple[np.ndarray, np.ndarray]]  # (outputs x inputs, outputs)
 
 
@@ -68,6 +70,7 @@ def with_expected(rows: DataFrame, layers: Layers, features: list[str], column:
             found = pa.array(last.argmax(axis=1).astype(float)) if len(last) else pa.array([], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(len(features)), found], [column, "expected"])
 
+    importable(rows.sparkSession)
     return rows.select(*features, F.col(column).cast("double")).mapInArrow(expected, f"{column} double, expected double")
 
 
@@ -105,6 +108,7 @@ def _sums(rows, many, features, label, with_gradient):
                 [places, pa.array(total), pa.array(np.full(len(total), n, np.int64))], ["i", "s", "n"]
             )
 
+    importable(rows.sparkSession)
     read = rows.select(*features, F.col(label).cast("int").alias("_label"))
     found = read.mapInArrow(sums, "i int, s double, n long").groupBy("i").agg(F.sum("s"), F.sum("n"))
     ordered = sorted(found.collect())  # as many rows as weights

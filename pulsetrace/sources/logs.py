@@ -10,6 +10,7 @@ from ..fixed_values import NA_TOKENS
 from ..functions.columns import file_extension, na_to_null
 from ..schemas import CONN_LOG_COLUMNS, GROUP_LOG_COLUMNS
 from .scratch import new_scratch
+from .workers import importable
 
 CORRUPT = "corrupt_line"
 SOURCE_FILE = "source_file"
@@ -100,6 +101,7 @@ def shown_copies(spark: SparkSession, files: Sequence[tuple[str, str]]) -> list[
     folder = new_scratch(spark, "shown")
     pairs = [(path, f"{folder}/{SHOWN}{name}") for path, name in files]
     if all(_known_place(x) for x in (pairs[0][0], folder)):
+        importable(spark)
         rows = spark.createDataFrame(pairs, "path string, copy string")
         rows.repartition(len(pairs), "path").mapInArrow(_copied, "bytes long").agg(F.sum("bytes")).collect()
         return [copy for _, copy in pairs]
