@@ -8,6 +8,7 @@ hinge does not notice.
 """
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,20 +34,22 @@ class Certificate:
 
 
 def certificate(
-    rows: DataFrame, features: list[str], weights, intercept: float, reach: float = 10.0, widths=WIDTHS
+    rows: DataFrame, features: list[str], weights, intercept: float, reach: float = 10.0, widths=WIDTHS,
+    copies: str | None = None,
 ) -> Certificate:
-    """The certificate of a plane over ``rows`` (features and ``label``, 1 or another)."""
-    spread = rows.agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
-    ).first()
+    """The certificate of a plane over ``rows`` (features and ``label``, 1 or another).
+
+    ``copies`` names a column that tells how many equal rows a row stands for.
+    """
+    rows = rows.withColumn("_n", F.lit(1.0) if copies is None else F.col(copies).cast("double"))
+    spread = weighted_spread(rows, features, "_n")
     weights = np.array(weights, float)
     mean = np.array([spread[f"m_{c}"] for c in features], float)
     scale = np.array([spread[f"s_{c}"] or 1.0 for c in features], float)
     side = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
     scaled = rows.select(
         *[((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(f"z{i}") for i, (c, m, s) in enumerate(zip(features, mean, scale))],
-        F.lit(1.0).alias(f"z{len(features)}"), side.alias("y"),
+        F.lit(1.0).alias(f"z{len(features)}"), side.alias("y"), "_n",
     )
     names = [f"z{i}" for i in range(len(features) + 1)]
     own = np.append(weights * scale, intercept + float(weights @ mean))
@@ -76,18 +79,33 @@ def certificate(
     return Certificate(spread["n"], float(loss), float(best), reach)
 
 
+def weighted_spread(rows: DataFrame, columns: list[str], copies: str) -> dict:
+    """``n`` and per column the mean ``m_`` and the deviation ``s_`` (of a population) of rows that stand for ``copies`` rows."""
+    means = rows.agg(F.sum(copies).cast("long").alias("n"), *[mean(F.col(c), copies).alias(f"m_{c}") for c in columns]).first()
+    if not means["n"]:
+        return {"n": 0, **{f"{k}_{c}": None for k in "ms" for c in columns}}
+    off = {c: F.col(c) - F.lit(means[f"m_{c}"]) for c in columns}
+    found = rows.agg(*[F.sqrt(mean(off[c] * off[c], copies)).alias(f"s_{c}") for c in columns]).first() if columns else None
+    return {**means.asDict(), **(found.asDict() if found else {})}
+
+
+def mean(value, copies: str):
+    return F.sum(value * F.col(copies)) / F.sum(copies)
+
+
 def _sums(scaled: DataFrame, names: list[str], plane: np.ndarray, width: float) -> dict:
     """Means over the rows at ``plane``: the hinge, the smoothed one with its slope and curvature, and the weights."""
     margin = sum((F.lit(float(w)) * F.col(c) for w, c in zip(plane, names)), F.lit(0.0))
-    short = scaled.select(*names, "y", (1 - F.col("y") * margin).alias("short"))
+    short = scaled.select(*names, "y", "_n", (1 - F.col("y") * margin).alias("short"))
     share = F.least(F.greatest(F.col("short") / width, F.lit(0.0)), F.lit(1.0))
     inside = F.when((F.col("short") > 0) & (F.col("short") < width), 1.0).otherwise(0.0)
-    staged = short.select(*names, "y", "short", share.alias("a"), inside.alias("inside"))
+    staged = short.select(*names, "y", "_n", "short", share.alias("a"), inside.alias("inside"))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    avg = partial(mean, copies="_n")
     got = staged.agg(
-        F.avg(F.greatest("short", F.lit(0.0))), F.avg(F.col("a") * F.col("short") - F.col("a") * F.col("a") * (width / 2)),
-        F.avg("a"), *[F.avg(F.col("a") * F.col("y") * F.col(c)) for c in names],
-        *[F.avg(F.col("inside") * F.col(names[i]) * F.col(names[j])) for i, j in pairs],
+        avg(F.greatest("short", F.lit(0.0))), avg(F.col("a") * F.col("short") - F.col("a") * F.col("a") * (width / 2)),
+        avg(F.col("a")), *[avg(F.col("a") * F.col("y") * F.col(c)) for c in names],
+        *[avg(F.col("inside") * F.col(names[i]) * F.col(names[j])) for i, j in pairs],
     ).first()
     h = np.zeros((len(names), len(names)))
     for (i, j), value in zip(pairs, got[3 + len(names):]):
