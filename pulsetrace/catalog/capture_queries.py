@@ -105,7 +105,7 @@ def captures_landed_twice(spark, sf_dir):
     if not land(spark, folder, target) or land(spark, folder, target):
         raise AssertionError("the second run has read captures again")
     broken = read_conn_logs(spark, folder)
-    broken.write.parquet(f"{target}/lines/99999999-broken")  # lines without a manifest
+    broken.write.parquet(f"{target}/lines/99999999-broken", compression="zstd")  # lines without a manifest
     return _per_capture(read_landed(spark, target))
 
 

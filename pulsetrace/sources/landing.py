@@ -54,7 +54,7 @@ def land(spark: SparkSession, folder: str | list[str], target: str, kind: str =
     plain = [path for path, name, _, _ in wanted if not skipped(name)]
     paths = [*plain, *shown_copies(spark, [(path, name) for path, name, _, _ in wanted if skipped(name)])]
     lines = scan_files(*READERS[kind](spark), paths)
-    lines.write.parquet(f"{target}/lines/{run}")
+    lines.write.parquet(f"{target}/lines/{run}", compression="zstd")
     landed = spark.read.schema(lines.schema).parquet(f"{target}/lines/{run}")
     fields = [c for c in landed.columns if c != SOURCE_FILE]
     # Equal whatever the order of lines, and combined in the map tasks.
