@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from test_models import connections, groups
 
@@ -49,6 +51,51 @@ def test_a_perceptron_reads_distinct_rows(spark, monkeypatch):
     assert n == 600 and held["at"][0] == pytest.approx(loss, rel=1e-12) and np.allclose(held["at"][1], slope)
 
 
+def test_a_pass_over_packed_rows_sums_what_the_rows_give(spark):
+    rng, widths = np.random.default_rng(3), [4, 18, 18, 2]
+    n = 2 * N.AT_ONCE + 77  # whole chunks and what is left over
+    x = np.column_stack([rng.integers(0, 3, n), rng.integers(0, 90_000, n), rng.integers(-9, 9, n) / 4, rng.normal(size=n)])
+    y, w = rng.integers(0, 2, n), rng.integers(1, 2000, n)
+    rows = spark.createDataFrame(
+        [(Vectors.dense(a), int(b), int(c)) for a, b, c in zip(x, y, w)], ["features", "label", COPIES]
+    ).coalesce(1)
+    packed = N._packed(rows, COPIES).select("kinds", "size", "rows")
+    assert {r.kinds for r in packed.collect()} == {"bifdbh"}
+    layers = N.layers_of(widths, rng.normal(0, 0.3, 4 * 18 + 18 + 18 * 18 + 18 + 18 * 2 + 2) / 50)
+    want = N._part(x, y, w.astype(float), [layers], True)
+    found = N.swept(packed.toArrow().to_batches(), layers)
+    assert np.allclose(found, want, rtol=1e-12, atol=1e-9) and N.swept([], layers) is None
+    far = N.layers_of(widths, rng.normal(0, 1e6, len(want) - 1))  # signals of 0 and 1
+    assert np.allclose(N.swept(packed.toArrow().to_batches(), far), N._part(x, y, w.astype(float), [far], True))
+
+
+def test_a_pass_reads_narrow_columns_in_equal_tasks(spark, monkeypatch):
+    df = spark.range(40_000).select(
+        F.array(*[(F.col("id") % (k + 2)).cast("double") for k in range(9)]).alias("x"), (F.col("id") % 2).alias("label"),
+        F.lit(1).alias(COPIES),
+    ).repartition(16)
+    vectors = df.select(array_to_vector("x").alias("features"), "label", COPIES)
+    blocks = N._packed(vectors, COPIES)
+    size, rows, number = blocks.agg(F.sum(F.length("rows")), F.sum("size"), F.count("*")).first()
+    assert rows == 40_000 and size <= 12 * rows  # eight bytes each were 84
+    dealt = N._dealt(blocks, number, 16)
+    found = [r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("size")).select("sum(size)").collect()]
+    assert sum(found) == 40_000 and len(found) == 8 and max(found) < 1.1 * min(found)
+    monkeypatch.setattr(N, "BLOCKS_PER_TASK", 1)
+    assert N._dealt(blocks, number, 16).rdd.getNumPartitions() == 16
+    assert N._dealt(blocks, 1, 1).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("values, kind", [
+    ([0, -128, 127], "b"), ([0, 128], "h"), ([0, -40_000], "i"), ([0.5, 2.0**40], "f"), ([0.1], "d"), ([float(2**53)], "f"),
+    ([2.0**53 - 1], "d"), ([1e300], "d"),
+])
+def test_columns_are_narrowed_without_loss(values, kind):
+    column = np.array(values, float)
+    short = N._narrow(column)
+    assert short.dtype.char == kind and np.array_equal(short.astype(float), column)
+
+
 def test_labels_that_are_no_classes_are_refused(spark):
     for label in (F.lit(-1), F.lit(2), F.lit(None).cast("int")):
         with pytest.raises(Exception, match="label"):
